@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from netloom.llm import problems
+from netloom.llm import problems, texts
 
-_MODULES = (problems,)
+_MODULES = (problems, texts)
 
 
 def queries() -> dict:
