@@ -41,7 +41,7 @@ def repair(text: str) -> str:
 
 
 #: Cue numbers and cue heads, also damaged ones: only digits, signs read as digits, and an arrow.
-_HEAD = re.compile(r"[\dOolI]{1,6}$|[\dOolI:;.,\s]{4,16}(?:-*>|[-–—]+)[\dOolI:;.,\s]{4,16}|[^>]{0,24}\d[^>]{0,24}--? ?>")
+_HEAD = re.compile(r"[\dOolI]{1,6}$|[\dOolI;.,\s]+:[\dOolI:;.,\s]{4,16}(?:-*>|[-–—]+)[\dOolI;.,\s]+:|[^>]{0,24}\d[^>]{0,24}--? ?>")
 _MARKS = re.compile(r"<[^<>\n]{0,80}>|\{[^{}\n]{0,80}\}|&(?:#\d+|\w{2,8});|\[[^\[\]]{0,160}\]|\([^()]{0,160}\)|(?<!\w)\*[^*]{1,160}\*")
 _MARKED = re.compile(r"[<{&\[(*]").search
 _LABEL = regex.compile(r"[\s\-–—♪#?]*(?:[\p{Lu}\d][\w.'’]*[ ]){0,2}[\p{Lu}\d][\w.'’]*[ ]?:(?=\s)")
