@@ -63,8 +63,8 @@ def _any(words: tuple[str, ...]) -> str:
     return "(?:" + "|".join(tolerant(w) for w in sorted(words, key=len, reverse=True)) + ")"
 
 
-_NUM = rf"(?<![\w.,/+\-]){_D}{{1,4}}(?:[a-zA-Z]|-{_D}{{1,2}})?"
-_NUM_LAST = rf"{_D}{{1,4}}(?:[a-zA-Z](?![a-zA-Z])|-{_D}{{1,2}})?(?![\w/])"
+_NUM = rf"(?<![\w.,/+\-])(?=\w?\w?\w?\d){_D}{{1,4}}(?:[a-zA-Z]|-{_D}{{1,2}})?"
+_NUM_LAST = rf"(?=\w?\w?\w?\d){_D}{{1,4}}(?:[a-zA-Z](?![a-zA-Z])|-{_D}{{1,2}})?(?![\w/])"
 _NAME = r"(?:[^\W\d_]|[015�](?=[^\W\d_]))[^\s\d,;:!@<>()\[\]]{2,}"
 _KIND_AFTER = "(?:" + "|".join(tolerant(w) if w.endswith(".") else tolerant(w) + r"(?![\w.]\w|\w)" for w in sorted(STREETS_AFTER, key=len, reverse=True)) + ")"
 _SZ = r"(?:ß|ss|SS|ẞ|[^\w\s]{1,3}|я|Я|Ã\S{1,4}|)"
