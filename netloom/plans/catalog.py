@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netloom.plans import problems
+from netloom.plans import findings, problems
 
-_MODULES = (problems,)
+_MODULES = (problems, findings)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

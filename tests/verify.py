@@ -5,6 +5,8 @@ import os
 import sys
 import time
 
+import pandas as pd
+
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -15,7 +17,7 @@ def frames_differ(a, b) -> str:
     cols = sorted(a.columns)
 
     def text(v) -> str:
-        if v is None or v != v:
+        if v is None or v is pd.NA or v is pd.NaT or v != v:
             return "null"
         if isinstance(v, float):
             return repr(int(v)) if v == int(v) else f"{v:.9g}"
