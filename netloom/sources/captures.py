@@ -8,15 +8,15 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from datetime import datetime, timedelta
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import (
-    DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, Not, StringContains, StringEndsWith, StringStartsWith,
-)
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from netloom.sources import decode as D
@@ -103,46 +103,72 @@ class Files(InputPartition):
     files: list[tuple[int, str, dict[str, str]]]
 
 
-_OPS = {EqualTo: pc.equal, GreaterThan: pc.greater, GreaterThanOrEqual: pc.greater_equal, LessThan: pc.less, LessThanOrEqual: pc.less_equal}
-
-
-def _usable(f: Filter) -> bool:
-    if isinstance(f, Not):
-        return _usable(f.child)
-    return isinstance(f, (*_OPS, EqualNullSafe, In, IsNull, IsNotNull, StringContains, StringEndsWith, StringStartsWith)) and len(f.attribute) == 1
-
-
-def _column(f: Filter) -> str:
-    return _column(f.child) if isinstance(f, Not) else f.attribute[0]
-
-
-def holds(f: Filter, x: pa.Array) -> pa.Array:
-    """Three-valued truth of a filter for each value of its column."""
-    if isinstance(f, Not):
-        return pc.invert(holds(f.child, x))
-    if isinstance(f, IsNull):
-        return pc.is_null(x)
-    if isinstance(f, IsNotNull):
-        return pc.is_valid(x)
-    if isinstance(f, EqualNullSafe):
-        return pc.is_null(x) if f.value is None else pc.fill_null(pc.equal(x, _scalar(f.value, x)), False)
-    if isinstance(f, In):
-        return pc.if_else(pc.is_valid(x), pc.is_in(x, pa.array([v for v in f.value if v is not None]).cast(x.type)), None)
-    if isinstance(f, StringContains):
-        return pc.match_substring(x, f.value)
-    if isinstance(f, StringStartsWith):
-        return pc.starts_with(x, f.value)
-    if isinstance(f, StringEndsWith):
-        return pc.ends_with(x, f.value)
-    return _OPS[type(f)](x, _scalar(f.value, x))
-
-
-def _scalar(v, x: pa.Array) -> pa.Scalar:
-    if pa.types.is_timestamp(x.type) and getattr(v, "tzinfo", None) is not None:
-        import datetime
-
-        v = v.astimezone(datetime.UTC).replace(tzinfo=None)
-    return pa.scalar(v).cast(x.type)
+_OPS = {"=": pc.equal, ">": pc.greater, ">=": pc.greater_equal, "<": pc.less, "<=": pc.less_equal}
+
+
+@dataclass(frozen=True)
+class Test:
+    """A condition on one column: ``op`` is a comparison, ``in``, ``is null``, ``is not null``, ``contains``, ``starts with`` or ``ends with``.
+
+    Conditions are given when a capture is loaded, not gathered from the plan: Spark keeps one reader for all uses of a
+    loaded DataFrame, so conditions pushed from one branch of a plan would also empty the others.
+    """
+
+    column: str
+    op: str
+    value: object = None
+
+    def holds(self, x: pa.Array) -> pa.Array:
+        """Three-valued truth for each value of the column."""
+        if self.op == "is null":
+            return pc.is_null(x)
+        if self.op == "is not null":
+            return pc.is_valid(x)
+        if self.op == "in":
+            return pc.if_else(pc.is_valid(x), pc.is_in(x, pa.array([v for v in self.value if v is not None]).cast(x.type)), None)
+        if self.op in ("contains", "starts with", "ends with"):
+            return {"contains": pc.match_substring, "starts with": pc.starts_with, "ends with": pc.ends_with}[self.op](x, self.value)
+        return _OPS[self.op](x, pa.scalar(self.value).cast(x.type))
+
+    def may(self, low, high, nulls: int | None) -> bool:
+        """Whether a time between these bounds may satisfy it."""
+        if self.op == "is null":
+            return nulls is None or nulls > 0
+        if low is None or high is None:
+            return False
+        if self.op == "is not null":
+            return True
+        kind = pa.timestamp("us")
+        values = [pa.scalar(v).cast(kind).as_py() for v in (self.value if self.op == "in" else [self.value]) if v is not None]
+        if self.op in ("=", "in"):
+            return any(low <= v <= high for v in values)
+        (v,) = values
+        return {">": high > v, ">=": high >= v, "<": low < v, "<=": low <= v}[self.op]
+
+    def sql(self, kind: T.DataType) -> Column:
+        c = F.col(self.column)
+        if self.op in ("is null", "is not null"):
+            return c.isNull() if self.op == "is null" else c.isNotNull()
+        if self.op in ("contains", "starts with", "ends with"):
+            return {"contains": c.contains, "starts with": c.startswith, "ends with": c.endswith}[self.op](self.value)
+        if self.op == "in":
+            return c.isin([F.lit(v).cast(kind) for v in self.value if v is not None])
+        v = F.lit(self.value).cast(kind)
+        return {"=": c == v, ">": c > v, ">=": c >= v, "<": c < v, "<=": c <= v}[self.op]
+
+
+def _tests(where: list[tuple], known: dict[str, T.StructField]) -> list[Test]:
+    out = []
+    for column, op, *value in where:
+        if column not in known or isinstance(known[column].dataType, (T.ArrayType, T.StructType, T.BinaryType)):
+            raise ValueError(f"no condition can be set on {column!r}")
+        if op not in (*_OPS, "in", "is null", "is not null", "contains", "starts with", "ends with"):
+            raise ValueError(f"no such comparison: {op!r}")
+        v = value[0] if value else None
+        if op not in ("is null", "is not null") and v is None:
+            raise ValueError(f"{op!r} needs a value")
+        out.append(Test(column, op, [str(x) if isinstance(x, datetime) else x for x in v] if op == "in" else str(v) if isinstance(v, datetime) else v))
+    return out
 
 
 class CaptureReader(DataSourceReader):
@@ -156,11 +182,7 @@ class CaptureReader(DataSourceReader):
         self.catalog: str | None = options.get("catalog")
         self.immutable = options.get("catalogvalidation", "strict") == "immutable"
         self.task_bytes = int(options.get("taskbytes", TASK_BYTES))
-        self.filters: list[Filter] = []
-
-    def pushFilters(self, filters: list[Filter]):  # noqa: N802
-        self.filters = [f for f in filters if _usable(f)]
-        yield from filters  # Spark checks all of them again
+        self.tests = [Test(*t) for t in json.loads(options.get("where", "[]"))]
 
     # --- planning ----------------------------------------------------------------------------------------------------------
     def _typed(self, name: str, value: str):
@@ -168,16 +190,16 @@ class CaptureReader(DataSourceReader):
 
     def _kept(self, path: str) -> bool:
         parts = hive_values(path) if self.hive else {}
-        for f in self.filters:
-            c = _column(f)
+        for t in self.tests:
+            c = t.column
             x = pa.array([path]) if c == "filename" else self._typed(c, parts[c]) if c in self.hive else None
-            if x is not None and holds(f, x)[0].as_py() is not True:
+            if x is not None and t.holds(x)[0].as_py() is not True:
                 return False
         return True
 
     def _excluded(self) -> set[str]:
         """Files whose catalog row shows that no packet can satisfy the pushed time filters."""
-        times = [f for f in self.filters if _column(f) == "timestamp"]
+        times = [t for t in self.tests if t.column == "timestamp"]
         if not self.catalog or not self.immutable or not times:
             return set()
         import pyarrow.dataset as ds
@@ -196,7 +218,7 @@ class CaptureReader(DataSourceReader):
             stat = os.stat(path)
             if r["file_size"] != stat.st_size or r["modification_time"] is None or _utc_us(r["modification_time"]) != stat.st_mtime_ns // 1000:
                 continue
-            if not all(_may(f, r) for f in times):
+            if not all(t.may(r["min_timestamp"], r["max_timestamp"], r["timestamp_null_count"]) for t in times):
                 out.add(path)
         return out
 
@@ -218,8 +240,8 @@ class CaptureReader(DataSourceReader):
     # --- reading -----------------------------------------------------------------------------------------------------------
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         want = set(self.schema.names)
-        tests = [f for f in self.filters if _column(f) not in self.hive and _column(f) != "filename"]
-        asked = want | {_column(f) for f in tests}
+        tests = [t for t in self.tests if t.column not in self.hive and t.column != "filename"]
+        asked = want | {t.column for t in tests}
         depth = D.TRANSPORT if self.layer == "dns" else max((_DEPTH.get(c, D.NONE) for c in asked), default=D.NONE)
         arrow = to_arrow_schema(self.schema)
         for index, path, parts in partition.files:
@@ -228,9 +250,9 @@ class CaptureReader(DataSourceReader):
             for raw in capture.batches():
                 cols = Columns(raw, capture, index, data, depth, self.layer == "dns")
                 for first in (True, False):  # raw columns first, so that fewer packets are decoded
-                    for f in tests:
-                        if (_column(f) in _RAW_NAMES) == first:
-                            cols.keep(pc.fill_null(holds(f, cols.get(_column(f))), False).to_numpy(zero_copy_only=False))
+                    for t in tests:
+                        if (t.column in _RAW_NAMES) == first:
+                            cols.keep(pc.fill_null(t.holds(cols.get(t.column)), False).to_numpy(zero_copy_only=False))
                     if first and self.layer == "dns":
                         cols.keep(cols.has_dns())
                 if not cols.n:
@@ -239,31 +261,8 @@ class CaptureReader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
 
-def _utc_us(t) -> int:
-    import datetime
-
-    return (t - datetime.datetime(1970, 1, 1)) // datetime.timedelta(microseconds=1)
-
-
-def _may(f: Filter, row: dict) -> bool:
-    """Whether a file with these bounds may hold a packet that satisfies the filter."""
-    low, high, nulls = row["min_timestamp"], row["max_timestamp"], row["timestamp_null_count"]
-    if isinstance(f, IsNull):
-        return nulls is None or nulls > 0
-    if isinstance(f, Not) or isinstance(f, (StringContains, StringEndsWith, StringStartsWith, EqualNullSafe)):
-        return True
-    if low is None or high is None:
-        return False
-    x = pa.array([low, high], pa.timestamp("us"))
-    if isinstance(f, IsNotNull):
-        return True
-    values = list(f.value) if isinstance(f, In) else [f.value]
-    lo, hi = (s.as_py() for s in x)
-    values = [_scalar(v, x).as_py() for v in values if v is not None]
-    if isinstance(f, (EqualTo, In)):
-        return any(lo <= v <= hi for v in values)
-    v = values[0]
-    return hi > v if isinstance(f, GreaterThan) else hi >= v if isinstance(f, GreaterThanOrEqual) else lo < v if isinstance(f, LessThan) else lo <= v
+def _utc_us(t: datetime) -> int:
+    return (t - datetime(1970, 1, 1)) // timedelta(microseconds=1)
 
 
 class Columns:
@@ -382,12 +381,11 @@ class CaptureSource(DataSource):
         return CaptureReader(schema, dict(self.options))
 
 
-def _read(spark: SparkSession, layer: str, paths: str | list[str], columns: list[str] | None, hive_partitioning: bool, hive_types: dict[str, str] | None, hive_types_autocast: bool, catalog: str | None, catalog_validation: str) -> DataFrame:
+def _read(spark: SparkSession, layer: str, paths: str | list[str], columns: list[str] | None, hive_partitioning: bool, hive_types: dict[str, str] | None, hive_types_autocast: bool, catalog: str | None, catalog_validation: str, where: list[tuple]) -> DataFrame:
     if catalog_validation not in ("strict", "immutable"):
         raise ValueError("catalog_validation must be strict or immutable")
     files = expand(paths)
     spark.dataSource.register(CaptureSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     full = T.StructType.fromDDL(LAYERS[layer])
     known = {f.name: f for f in [*full.fields, *T.StructType.fromDDL(EXTRA).fields]}
     hive = hive_columns(files, hive_types, hive_types_autocast, full.names) if hive_partitioning else {}
@@ -397,19 +395,31 @@ def _read(spark: SparkSession, layer: str, paths: str | list[str], columns: list
     if unknown:
         raise ValueError(f"no such columns: {unknown}")
     r = spark.read.format("netloom_capture").schema(T.StructType([known[c] for c in names])).option("layer", layer).option("paths", json.dumps(files)).option("hive", json.dumps(hive)).option("catalogvalidation", catalog_validation)
-    return (r.option("catalog", catalog) if catalog else r).load()
+    tests = _tests(where, known)
+    r = r.option("where", json.dumps([(t.column, t.op, t.value) for t in tests]))
+    df = (r.option("catalog", catalog) if catalog else r).load()
+    for t in tests:
+        if t.column in names:  # checked again, where it can be seen in the plan
+            df = df.filter(t.sql(known[t.column].dataType))
+    return df
+
 
+def read_pcap(spark: SparkSession, paths: str | list[str], columns: list[str] | None = None, hive_partitioning: bool = False, hive_types: dict[str, str] | None = None, hive_types_autocast: bool = True, catalog: str | None = None, catalog_validation: str = "strict", where: list[tuple] | tuple = ()) -> DataFrame:
+    """Records of captures. ``columns`` narrows what is read: only these columns are made, and only their layers decoded.
 
-def read_pcap(spark: SparkSession, paths: str | list[str], columns: list[str] | None = None, hive_partitioning: bool = False, hive_types: dict[str, str] | None = None, hive_types_autocast: bool = True, catalog: str | None = None, catalog_validation: str = "strict") -> DataFrame:
-    """Records of captures. ``columns`` narrows what is read: only these columns are made, and only their layers decoded."""
-    return _read(spark, "pcap", paths, columns, hive_partitioning, hive_types, hive_types_autocast, catalog, catalog_validation)
+    ``where`` is a list of conditions ``(column, op[, value])`` that all must hold (see ``Test``): those on ``filename`` and
+    partition columns leave out whole files before any is opened; with ``catalog``, the path of a stored inventory, and
+    ``catalog_validation="immutable"``, conditions on ``timestamp`` leave out files whose summary excludes them; the others
+    are tested as soon as their layer is decoded, and packets that fail are decoded no further.
+    """
+    return _read(spark, "pcap", paths, columns, hive_partitioning, hive_types, hive_types_autocast, catalog, catalog_validation, list(where))
 
 
-def read_packets(spark: SparkSession, paths: str | list[str], columns: list[str] | None = None, hive_partitioning: bool = False, hive_types: dict[str, str] | None = None, hive_types_autocast: bool = True, catalog: str | None = None, catalog_validation: str = "strict") -> DataFrame:
+def read_packets(spark: SparkSession, paths: str | list[str], columns: list[str] | None = None, hive_partitioning: bool = False, hive_types: dict[str, str] | None = None, hive_types_autocast: bool = True, catalog: str | None = None, catalog_validation: str = "strict", where: list[tuple] | tuple = ()) -> DataFrame:
     """Decoded packets; a packet that can't be decoded keeps its raw columns and has nulls for the rest."""
-    return _read(spark, "packets", paths, columns, hive_partitioning, hive_types, hive_types_autocast, catalog, catalog_validation)
+    return _read(spark, "packets", paths, columns, hive_partitioning, hive_types, hive_types_autocast, catalog, catalog_validation, list(where))
 
 
-def read_dns(spark: SparkSession, paths: str | list[str], columns: list[str] | None = None, hive_partitioning: bool = False, hive_types: dict[str, str] | None = None, hive_types_autocast: bool = True, catalog: str | None = None, catalog_validation: str = "strict") -> DataFrame:
+def read_dns(spark: SparkSession, paths: str | list[str], columns: list[str] | None = None, hive_partitioning: bool = False, hive_types: dict[str, str] | None = None, hive_types_autocast: bool = True, catalog: str | None = None, catalog_validation: str = "strict", where: list[tuple] | tuple = ()) -> DataFrame:
     """Packets to or from port 53 with a payload, each with the DNS message in it."""
-    return _read(spark, "dns", paths, columns, hive_partitioning, hive_types, hive_types_autocast, catalog, catalog_validation)
+    return _read(spark, "dns", paths, columns, hive_partitioning, hive_types, hive_types_autocast, catalog, catalog_validation, list(where))
