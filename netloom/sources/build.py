@@ -73,3 +73,64 @@ def enhanced(ticks: int, data: bytes, face: int = 0, original: int | None = None
 
 def simple(data: bytes, original: int | None = None, order: str = "<") -> bytes:
     return block(3, struct.pack(order + "I", len(data) if original is None else original) + data, order)
+
+
+def client_hello(sni: str | None, suites: list[int], groups: list[int] = (29, 23), signatures: list[int] = (1027, 2052), versions: list[int] = (), alpn: list[str] = (), points: list[int] = (0,), session: bytes = b"") -> bytes:
+    """A ClientHello message with its handshake header."""
+    parts = []
+
+    def add(kind: int, body: bytes) -> None:
+        parts.append(struct.pack(">HH", kind, len(body)) + body)
+
+    def listed(values, width: int, length: int) -> bytes:
+        body = b"".join(v.to_bytes(width, "big") for v in values)
+        return len(body).to_bytes(length, "big") + body
+
+    if sni is not None:
+        name = b"\0" + struct.pack(">H", len(sni)) + sni.encode("latin-1")
+        add(0, struct.pack(">H", len(name)) + name)
+    if groups:
+        add(10, listed(groups, 2, 2))
+    if points:
+        add(11, listed(points, 1, 1))
+    if signatures:
+        add(13, listed(signatures, 2, 2))
+    if alpn:
+        body = b"".join(bytes([len(a)]) + a.encode() for a in alpn)
+        add(16, struct.pack(">H", len(body)) + body)
+    if versions:
+        add(43, listed(versions, 2, 1))
+    extensions = b"".join(parts)
+    body = b"\x03\x03" + bytes(32) + bytes([len(session)]) + session + listed(suites, 2, 2) + b"\x01\x00" + struct.pack(">H", len(extensions)) + extensions
+    return b"\x01" + len(body).to_bytes(3, "big") + body
+
+
+def server_hello(suite: int, version: int | None = None, session: bytes = b"") -> bytes:
+    extensions = b"" if version is None else struct.pack(">HHH", 43, 2, version)
+    body = b"\x03\x03" + bytes(32) + bytes([len(session)]) + session + struct.pack(">HBH", suite, 0, len(extensions)) + extensions
+    return b"\x02" + len(body).to_bytes(3, "big") + body
+
+
+def tls_record(body: bytes, kind: int = 22) -> bytes:
+    return struct.pack(">BHH", kind, 0x0303, len(body)) + body
+
+
+def conversation(client: str, server: str, cport: int, sport: int, ask: bytes, answer: bytes, mss: int = 1400) -> list[bytes]:
+    """Frames of a TCP connection with a handshake, both sides' bytes and FINs."""
+    out, seqs = [], [1000, 9000]
+
+    def send(side: int, flags: int, data: bytes = b"") -> None:
+        a, b = (client, server) if side == 0 else (server, client)
+        p, q = (cport, sport) if side == 0 else (sport, cport)
+        out.append(packet(a, b, 6, tcp(p, q, seqs[side], seqs[1 - side] if flags & 16 else 0, flags, data)))
+        seqs[side] += len(data) + bool(flags & 3)
+
+    send(0, 2)
+    send(1, 18)
+    send(0, 16)
+    for side, data in ((0, ask), (1, answer)):
+        for i in range(0, len(data), mss):
+            send(side, 24, data[i : i + mss])
+    send(0, 17)
+    send(1, 17)
+    return out
