@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netloom.plans import findings, problems
+from netloom.plans import findings, problems, roundtrips
 
-_MODULES = (problems, findings)
+_MODULES = (problems, findings, roundtrips)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
