@@ -62,7 +62,7 @@ class Compacted:
 
 
 def _plan(groups_a_shard: int, target: int):
-    def plan(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def plan(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pieces = np.maximum(1, -(-pdf["n"].to_numpy() // target))
         row = np.repeat(np.arange(len(pdf)), pieces)
         weight = pdf["n"].to_numpy()[row] / pieces[row]
