@@ -72,7 +72,7 @@ def _summarize(capacity: int):
 
 
 def _join(capacity: int):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         s = SpaceSaving(capacity)
         for _, part in pdf.groupby("node"):
             there = part["item"].notna()
