@@ -394,6 +394,8 @@ def _read(spark: SparkSession, layer: str, paths: str | list[str], columns: list
     unknown = [c for c in names if c not in known]
     if unknown:
         raise ValueError(f"no such columns: {unknown}")
+    if len(set(names)) < len(names):
+        raise ValueError("a column is named twice")
     r = spark.read.format("netloom_capture").schema(T.StructType([known[c] for c in names])).option("layer", layer).option("paths", json.dumps(files)).option("hive", json.dumps(hive)).option("catalogvalidation", catalog_validation)
     tests = _tests(where, known)
     r = r.option("where", json.dumps([(t.column, t.op, t.value) for t in tests]))

@@ -64,7 +64,11 @@ class CaptureFolder(DataSource):
 
 
 def stream_packets(spark: SparkSession, folder: str, layer: str = "packets", files_at_once: int = 1_000) -> DataFrame:
-    """Packets of the captures in a folder, those there and those to come."""
+    """Packets of the captures in a folder, those there and those to come.
+
+    A batch takes at most ``files_at_once`` files; so does a whole run with the trigger ``availableNow``, as Python sources
+    are asked for their end once in it.
+    """
     spark.dataSource.register(CaptureFolder)
     return spark.readStream.format("netloom_capture_folder").option("layer", layer).option("maxFilesPerTrigger", files_at_once).load(folder)
 
