@@ -107,8 +107,8 @@ def frequent_items(items: DataFrame, per_mille: int, whole: Column, capacity: in
     """
     if 1000 > per_mille * capacity:
         raise ValueError("the capacity is too small to tell such items from the rest")
-    (name,) = items.columns
+    items = items.toDF("_value")  # the column may have any name
     found = summarize(items, capacity).filter(F.col("item").isNotNull() & ((F.col("count") + F.col("error")) * 1000 >= whole * per_mille))
     found = found.select("item", (F.col("count") + F.col("error")).alias("approx_count"), F.col("error").alias("error_bound"))
-    exact = items.join(F.broadcast(found), F.col(name) == F.col("item")).groupBy("item", "approx_count", "error_bound").agg(F.count(F.lit(1)).alias("n_rows"))
+    exact = items.join(F.broadcast(found), F.col("_value") == F.col("item")).groupBy("item", "approx_count", "error_bound").agg(F.count(F.lit(1)).alias("n_rows"))
     return exact.filter(F.col("n_rows") * 1000 >= whole * per_mille)

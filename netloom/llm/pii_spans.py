@@ -163,8 +163,10 @@ class Names:
     def of(self, token: str) -> int:
         """Bits of what the word may be; 0 for none. Words in small letters are none."""
         core = token.strip("“”\"'’‘()[]<>*♪_#.,!?…:;=-–—¿¡")
-        if len(core) < 3 or (core[0].islower() and core[0] != "l"):
+        if len(core) < 3:
             return 0
+        if core[0].islower():  # a misread capital I looks like a small l
+            return self.known.get(fold("I" + core[1:]), 0) if core[0] == "l" else 0
         f = fold(core)
         got = self.known.get(f) or self.known.get(skeleton(core), 0)
         if not got and not core.isascii():
