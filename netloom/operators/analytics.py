@@ -11,6 +11,7 @@ from netloom.functions.names import SuffixRules, encoded_ratio, normalized_entro
 from netloom.functions.network import ip_in_cidrs
 from netloom.session import epoch_us, materialize
 
+# The vocabularies below, and the detector versions, profile, reasons and flags named in the functions.
 SCOPES = ("all", "outbound", "inbound", "local_remote", "internal", "external")
 METRICS = ("payload_bytes", "captured_bytes", "reported_bytes", "packets", "connections", "peers")
 _COUNTS = ("packets", "captured_bytes", "reported_bytes", "payload_bytes")

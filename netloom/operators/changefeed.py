@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-import os
 import uuid
 
 import numpy as np
@@ -11,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.session import local_path
+from netloom.session import read_json, write_json
 
 FANOUT = 16
 #: Rows of the saved state that one key range holds, about.
@@ -131,28 +129,17 @@ def replay_runs(df: DataFrame, run: str, key: str, values: list[str], root: str)
     found = ordered.groupBy("_range").applyInPandas(_replay(run, key, values), f"kind string, {run} long, {key} string, leaf long")
     version = f"v-{uuid.uuid4().hex}"
     found.write.partitionBy("kind").parquet(f"{root}/{version}")
-    publish(root, {"version": version, "rows": n})
+    write_json(f"{root}/CURRENT.json", {"version": version, "rows": n})
     return spark.read.schema(f"{run} long, {key} string, leaf long, kind string").parquet(f"{root}/{version}").filter("kind = 'change'").select(run, key)
 
 
-def publish(root: str, what: dict) -> None:
-    """Make a version the current one, by one atomic rename."""
-    at = os.path.join(local_path(root), "CURRENT.json")
-    tmp = f"{at}.{uuid.uuid4().hex}"
-    with open(tmp, "w") as f:
-        json.dump(what, f)
-        f.flush()
-        os.fsync(f.fileno())
-    os.replace(tmp, at)
-
-
 class ChangeFeed:
-    """Run after run over a growing table: ``changes`` finds what is new, ``commit`` publishes it with the new state.
+    """Run after run over a growing table: each finds what is new or changed and publishes it with the new state.
 
     The state is a table of (key, values, leaf) in ``parts`` directories by key range and the Merkle digests of all leaves.
     Inner nodes are computed natively level by level, only the children of differing nodes are joined, and only directories
-    with differing leaves are read and rewritten; the others are taken over by name. Nothing is visible before the rename
-    in ``publish``, so a run that dies is simply run again: no record is skipped and none is handed on twice.
+    with differing leaves are read and rewritten; the others are taken over by name. Nothing is visible before that file's
+    rename, so a run that dies is simply run again: no record is skipped and none is handed on twice.
     """
 
     def __init__(self, spark: SparkSession, root: str, key: str, values: list[str], depth: int = 3, parts: int = 16):
@@ -160,8 +147,7 @@ class ChangeFeed:
         self.leaves = FANOUT**depth
 
     def current(self) -> dict | None:
-        at = os.path.join(local_path(self.root), "CURRENT.json")
-        return json.load(open(at)) if os.path.exists(at) else None
+        return read_json(f"{self.root}/CURRENT.json")
 
     def _stated(self, df: DataFrame, salt: int) -> DataFrame:
         null = F.lit(False)
@@ -212,7 +198,7 @@ class ChangeFeed:
                 keep = had.join(keep.select(self.key), self.key, "left_anti").unionByName(keep)
             keep.write.partitionBy("part").parquet(f"{self.root}/{version}/state")
             state |= {str(p): f"{version}/state" for p in touched}
-        publish(self.root, {"run": number, "tree": f"{version}/tree", "changes": f"{version}/changes", "state": state})
+        write_json(f"{self.root}/CURRENT.json", {"run": number, "tree": f"{version}/tree", "changes": f"{version}/changes", "state": state})
         return self.spark.read.schema(changes.schema).parquet(f"{self.root}/{version}/changes")
 
     def _saved(self, now: dict | None, parts) -> DataFrame | None:

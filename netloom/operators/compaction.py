@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import heapq
-import json
-import os
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -16,7 +14,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.session import local_path, materialize
+from netloom.session import file_system, materialize, read_json, write_json
 
 #: Records of an output file, about: some 100 to 150 MB before compression.
 TARGET_RECORDS = 1_000_000
@@ -46,8 +44,7 @@ class Compacted:
 
     @property
     def commit(self) -> dict:
-        with open(os.path.join(local_path(self.root), "_COMMIT.json")) as f:
-            return json.load(f)
+        return read_json(f"{self.root}/_COMMIT.json")
 
     def manifest(self) -> DataFrame:
         """One row per data file and capture in it: file, capture, n_records, n_keyed, n_repeats."""
@@ -79,7 +76,8 @@ def _writer(folder: str, order: list[str], names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        os.makedirs(folder, exist_ok=True)
+        files, at = file_system(folder)
+        files.create_dir(at, recursive=True)
         file = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.parquet"
         writer, seen, held, waiting = None, [], [], 0
         last = (None, None)
@@ -99,7 +97,7 @@ def _writer(folder: str, order: list[str], names: list[str]):
             size = len(text)
             seen.append(pa.table({"capture": text, "n_records": np.bincount(code[~repeat], minlength=size), "n_keyed": np.bincount(code[~repeat & ~none], minlength=size), "n_repeats": np.bincount(code[repeat], minlength=size)}))
             t = t.filter(pa.array(~repeat)).drop(["_capture"]).rename_columns(names)
-            writer = writer or pq.ParquetWriter(os.path.join(folder, file), t.schema, compression="zstd")
+            writer = writer or pq.ParquetWriter(f"{at}/{file}", t.schema, compression="zstd", filesystem=files)
             held.append(t)
             waiting += t.num_rows
             if waiting >= ROW_GROUP:
@@ -111,7 +109,7 @@ def _writer(folder: str, order: list[str], names: list[str]):
             writer.write_table(pa.concat_tables(held))
         writer.close()
         per = pa.concat_tables(seen).group_by("capture").aggregate([(c, "sum") for c in ("n_records", "n_keyed", "n_repeats")]).rename_columns(["capture", "n_records", "n_keyed", "n_repeats"])
-        there = pq.read_metadata(os.path.join(folder, file)).num_rows
+        there = pq.read_metadata(f"{at}/{file}", filesystem=files).num_rows
         kept = int(np.sum(per.column("n_records").to_numpy()))
         if there != kept:
             raise RuntimeError(f"{file} holds {there} records, {kept} were written")
@@ -163,17 +161,11 @@ def compact(df: DataFrame, capture: Column, number: str, root: str, target_recor
 
     version = uuid.uuid4().hex
     data, manifest = f"data-{version}", f"manifest-{version}"
-    folder = os.path.join(local_path(root), data)
-    ordered.mapInArrow(_writer(folder, ["_capture", num], names), "file string, capture string, n_records long, n_keyed long, n_repeats long").write.parquet(f"{root}/{manifest}")
+    ordered.mapInArrow(_writer(f"{root}/{data}", ["_capture", num], names), "file string, capture string, n_records long, n_keyed long, n_repeats long").write.parquet(f"{root}/{manifest}")
     done = spark.read.parquet(f"{root}/{manifest}").agg(F.coalesce(F.sum(F.col("n_records") + F.col("n_repeats")), F.lit(0)).alias("n")).first().n
     if done != size.records:
         raise RuntimeError(f"{size.records} records were read, {done} are in the manifest; nothing was published")
-    commit = os.path.join(local_path(root), "_COMMIT.json")
-    with open(f"{commit}.{version}", "w") as f:
-        json.dump({"data": data, "manifest": manifest, "records": size.records}, f)
-        f.flush()
-        os.fsync(f.fileno())
-    os.replace(f"{commit}.{version}", commit)
+    write_json(f"{root}/_COMMIT.json", {"data": data, "manifest": manifest, "records": size.records})
     return Compacted(spark, root)
 
 

@@ -7,7 +7,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.operators.ordered import SCOPE, along, vlan_list, with_clock, with_pair
+from netloom.operators.ordered import CLOCK, SCOPE, along, vlan_list, with_clock, with_pair
 
 FIN, SYN, RST, ACK = 1, 2, 4, 16
 TCP_IDLE, UDP_IDLE = timedelta(minutes=5), timedelta(minutes=1)
@@ -19,12 +19,16 @@ _STATE = (
 )
 
 
+#: Columns that sessions are made of; read a capture with them and ``CLOCK``.
+FLOW_COLUMNS = [*SCOPE, "packet_number", "timestamp", "captured_length", "original_length", "vlan_ids", "ip_version", "ip_protocol", "ip_fragment_offset", "ip_more_fragments", "src_ip", "dst_ip", "src_port", "dst_port", "tcp_flags", "tcp_seq", "tcp_ack", "payload_length"]
+
+
 class _Session:
     """Counters and handshake of one session; side 0 began it."""
 
-    def __init__(self, p: dict, flags: int):
-        self.key, self.first = p, p["packet_number"]
-        self.orig_low = p["from_low"] != (flags & (SYN | ACK) == SYN | ACK)
+    def __init__(self, p, flags: int):
+        self.key, self.first = p, p.packet_number
+        self.orig_low = p.from_low != (flags & (SYN | ACK) == SYN | ACK)
         self.basis = "syn_ack" if flags & (SYN | ACK) == SYN | ACK else "syn" if flags & SYN else "first_packet"
         self.counts = [[0, 0, 0, 0], [0, 0, 0, 0]]
         self.flags = [0, 0]
@@ -34,34 +38,34 @@ class _Session:
         self.closed = self.complete = self.both = False
         self.last = self.first
 
-    def side(self, p: dict) -> int:
-        return 0 if p["from_low"] == self.orig_low else 1
+    def side(self, p) -> int:
+        return 0 if p.from_low == self.orig_low else 1
 
-    def reused_by(self, p: dict) -> bool:
+    def reused_by(self, p) -> bool:
         """Whether a plain SYN begins a new session here: neither a repeat of the open handshake's nor its simultaneous twin."""
         side = self.side(p)
         opening = not self.closed and not self.complete and not (self.flags[0] | self.flags[1]) & FIN
-        again = self.sent_syn[side] and self.seq[side] == p["tcp_seq"]
+        again = self.sent_syn[side] and self.seq[side] == p.tcp_seq
         twin = not self.sent_syn[side] and self.sent_syn[1 - side] and not self.sent_syn_ack[side]
         return not (opening and (again or twin))
 
-    def add(self, p: dict, flags: int) -> None:
+    def add(self, p, flags: int) -> None:
         side = self.side(p)
-        for i, v in enumerate((1, p["captured_length"], p["original_length"], p["payload_length"])):
+        for i, v in enumerate((1, p.captured_length, p.original_length, p.payload_length)):
             self.counts[side][i] += v
-        self.last = p["packet_number"]
-        us = p["us"]
+        self.last = p.packet_number
+        us = p.us
         if us is None:
             self.missing += 1
         else:
             self.low = us if self.low is None else min(self.low, us)
             self.high = us if self.high is None else max(self.high, us)
-            self.late += p["late"]
-        if p["ip_protocol"] != 6:
+            self.late += p.late
+        if p.ip_protocol != 6:
             return
         self.flags[side] |= flags
-        other, seq, ack = 1 - side, p["tcp_seq"], p["tcp_ack"]
-        if not flags & SYN and (flags & ACK or p["payload_length"]):
+        other, seq, ack = 1 - side, p.tcp_seq, p.tcp_ack
+        if not flags & SYN and (flags & ACK or p.payload_length):
             self.closed = True
         if flags & (SYN | ACK) == SYN:
             self.both |= self.sent_syn[other]
@@ -74,13 +78,13 @@ class _Session:
 
     def out(self, why: str) -> tuple:
         k = self.key
-        low, high = (k["low_ip"], k["low_port"]), (k["high_ip"], k["high_port"])
+        low, high = (k.low_ip, k.low_port), (k.high_ip, k.high_port)
         orig, resp = (low, high) if self.orig_low else (high, low)
         seen = self.flags[0] | self.flags[1]
-        tcp = k["ip_protocol"] == 6
+        tcp = k.ip_protocol == 6
         state = (self.flags[0], self.flags[1], self.complete, bool(seen & SYN), bool(seen & FIN), bool(seen & RST), self.both) if tcp else (None,) * 7
         return (
-            *(k[c] for c in SCOPE), k["vlans"], k["ip_version"], k["ip_protocol"], *orig, *resp, self.basis, *(self.counts[s][i] for i in range(4) for s in (0, 1)),
+            *(getattr(k, c) for c in SCOPE), k.vlans, k.ip_version, k.ip_protocol, *orig, *resp, self.basis, *(self.counts[s][i] for i in range(4) for s in (0, 1)),
             self.first, self.last, self.low, self.high, self.missing, self.late, *state, low == high, why,
         )
 
@@ -89,36 +93,40 @@ class _Machine:
     def __init__(self, tcp_idle: int, udp_idle: int):
         self.idle = {6: tcp_idle, 17: udp_idle}
         self.open: _Session | None = None
-        self.tail: dict = {}
+        self.tail = None
 
     def _expired(self, clock: int | None) -> bool:
         s = self.open
-        idle = self.idle[s.key["ip_protocol"]]
+        idle = self.idle[s.key.ip_protocol]
         return bool(idle) and not s.missing and s.high is not None and clock is not None and s.high + idle < clock
 
     def _close(self, why: str) -> tuple:
         row, self.open = self.open.out(why), None
         return row
 
-    def row(self, p: dict):
+    def row(self, p) -> list[tuple]:
         self.tail = p
-        flags = p["tcp_flags"] or 0
-        if self.open and self._expired(p["clock"]):
-            yield self._close("idle_timeout")
-        if self.open and flags & (SYN | ACK) == SYN and p["ip_protocol"] == 6 and self.open.reused_by(p):
-            yield self._close("tuple_reuse")
-        if not self.open:
-            self.open = _Session(p, flags if p["ip_protocol"] == 6 else 0)
+        tcp = p.ip_protocol == 6
+        flags = (p.tcp_flags or 0) if tcp else 0
+        out = []
+        if self.open is not None:
+            if self._expired(p.clock):
+                out.append(self._close("idle_timeout"))
+            elif flags & (SYN | ACK) == SYN and self.open.reused_by(p):
+                out.append(self._close("tuple_reuse"))
+        if self.open is None:
+            self.open = _Session(p, flags)
         self.open.add(p, flags)
-        if flags & RST and p["ip_protocol"] == 6:
-            yield self._close("reset")
+        if flags & RST:
+            out.append(self._close("reset"))
+        return out
 
-    def end(self):
-        if self.open:
-            p = self.tail
-            later = p["final_packet"] > self.open.last
-            why = "idle_timeout" if later and self._expired(p["final_clock"]) else "eof" if p["last_section"] else "section_boundary"
-            yield self._close(why)
+    def end(self) -> list[tuple]:
+        if self.open is None:
+            return []
+        p = self.tail
+        later = p.final_packet > self.open.last
+        return [self._close("idle_timeout" if later and self._expired(p.final_clock) else "eof" if p.last_section else "section_boundary")]
 
 
 def read_flows(packets: DataFrame, tcp_idle_timeout: timedelta = TCP_IDLE, udp_idle_timeout: timedelta = UDP_IDLE, file_count: int = 1) -> DataFrame:
@@ -137,12 +145,14 @@ def read_flows(packets: DataFrame, tcp_idle_timeout: timedelta = TCP_IDLE, udp_i
         packets = packets.withColumn("input_index", F.lit(0).cast("long"))
     if tcp_idle_timeout < timedelta(0) or udp_idle_timeout < timedelta(0):
         raise ValueError("idle timeouts must be nonnegative")
-    cols = [*SCOPE, "packet_number", "timestamp", "captured_length", "original_length", "vlan_ids", "ip_version", "ip_protocol", "ip_fragment_offset", "ip_more_fragments", "src_ip", "dst_ip", "src_port", "dst_port", "tcp_flags", "tcp_seq", "tcp_ack", "payload_length"]
-    p = with_clock(packets.select(*cols).filter("packet_number is not null"))
-    last = packets.groupBy("filename", "input_index").agg(F.max("section_number").alias("_sections"))
-    p = p.join(last, ["filename", "input_index"]).withColumn("last_section", F.col("section_number") == F.col("_sections"))
+    cols = list(FLOW_COLUMNS)
+    given = [c for c in CLOCK if c in packets.columns]
+    p = with_clock(packets.select(*cols, *given).filter("packet_number is not null"))
+    if len(given) < len(CLOCK):
+        last = packets.groupBy("filename", "input_index").agg(F.max("section_number").alias("_sections"))
+        p = p.join(last, ["filename", "input_index"]).withColumn("last_section", F.col("section_number") == F.col("_sections")).drop("_sections")
     p = p.filter("ip_protocol in (6, 17) and src_port is not null and coalesce(ip_fragment_offset, 0) = 0 and not coalesce(ip_more_fragments, false)")
-    p = with_pair(p).drop("timestamp", "vlan_ids", "ip_fragment_offset", "ip_more_fragments", "src_ip", "dst_ip", "src_port", "dst_port", "_sections")
+    p = with_pair(p).drop("timestamp", "vlan_ids", "ip_fragment_offset", "ip_more_fragments", "src_ip", "dst_ip", "src_port", "dst_port")
     keys = [*SCOPE, "ip_version", "ip_protocol", "vlans", "low_ip", "low_port", "high_ip", "high_port"]
     us = [int(t / timedelta(microseconds=1)) for t in (tcp_idle_timeout, udp_idle_timeout)]
     s = along(p, keys, ["packet_number"], lambda: _Machine(*us), _STATE)

@@ -32,12 +32,12 @@ class _Pairing:
     """Directions of one connection in order; the n-th with client hellos meets the n-th with server hellos."""
 
     def __init__(self):
-        self.sides: dict[bool, list[tuple[dict, tls.Side]]] = {True: [], False: []}
+        self.sides: dict[bool, list[tuple[object, tls.Side]]] = {True: [], False: []}
 
-    def row(self, d: dict) -> Iterator[tuple]:
-        data = d["chunks"][0]["data"] if d["chunks"] and d["chunks"][0]["offset"] == 0 else b""
-        if d["reassembly_status"] not in ("conflict", "limit"):
-            side = tls.read_side(data, d["syn_seen"], bool(d["gaps"]))
+    def row(self, d) -> Iterator[tuple]:
+        data = d.chunks[0]["data"] if d.chunks and d.chunks[0]["offset"] == 0 else b""
+        if d.reassembly_status not in ("conflict", "limit"):
+            side = tls.read_side(data, d.syn_seen, bool(d.gaps))
             if side:
                 self.sides[side.hellos[0].client].append((d, side))
         return iter(())
@@ -47,28 +47,28 @@ class _Pairing:
         for i in range(max(len(clients), len(servers))):
             c = clients[i] if i < len(clients) else None
             s = servers[i] if i < len(servers) else None
-            if any(x and not x[0]["syn_seen"] and x[1].prefix and not y for x, y in ((c, s), (s, c))):
+            if any(x and not x[0].syn_seen and x[1].prefix and not y for x, y in ((c, s), (s, c))):
                 continue  # found in the middle of a stream, and nothing confirms it
             n = max(len(x[1].hellos) for x in (c, s) if x)
             for k in range(n):
                 yield _merge(c, s, k)
 
 
-def _pick(x: tuple[dict, tls.Side] | None, k: int) -> tls.Hello | None:
+def _pick(x: tuple[object, tls.Side] | None, k: int) -> tls.Hello | None:
     return x[1].hellos[k] if x and k < len(x[1].hellos) else None
 
 
-def _stamps(x: tuple[dict, tls.Side] | None, h: tls.Hello | None) -> list[tuple[int, int | None]]:
+def _stamps(x: tuple[object, tls.Side] | None, h: tls.Hello | None) -> list[tuple[int, int | None]]:
     if not x or not h:
         return []
     a, b = h.span
-    return [(o["packet"], o["us"]) for o in x[0]["origins"] if o["offset"] < b and o["offset"] + o["length"] > a]
+    return [(o["packet"], o["us"]) for o in x[0].origins if o["offset"] < b and o["offset"] + o["length"] > a]
 
 
-def _merge(c: tuple[dict, tls.Side] | None, s: tuple[dict, tls.Side] | None, k: int) -> tuple:
+def _merge(c: tuple[object, tls.Side] | None, s: tuple[object, tls.Side] | None, k: int) -> tuple:
     ch, sh = _pick(c, k), _pick(s, k)
     d = c[0] if c else s[0]
-    ends = (d["src_ip"], d["dst_ip"], d["src_port"], d["dst_port"]) if c else (d["dst_ip"], d["src_ip"], d["dst_port"], d["src_port"])
+    ends = (d.src_ip, d.dst_ip, d.src_port, d.dst_port) if c else (d.dst_ip, d.src_ip, d.dst_port, d.src_port)
     stamps = sorted(_stamps(c, ch) + _stamps(s, sh))
     first, last = (stamps[0], stamps[-1]) if stamps else ((None, None), (None, None))
     version = (sh.selected or sh.version) if sh and sh.status is None else None
@@ -85,14 +85,14 @@ def _merge(c: tuple[dict, tls.Side] | None, s: tuple[dict, tls.Side] | None, k:
         (ch is not None and bool(ch.bad), "client_list_malformed"), (sh is not None and bool(sh.bad), "server_list_malformed"),
         (sh is not None and None in (sh.certificates or []), "server_certificate_malformed"), (ch is not None and None in (ch.certificates or []), "client_certificate_malformed"),
         (cp > 0 and not ct, "client_tunnel_unrecognized"), (sp > 0 and not st, "server_tunnel_unrecognized"),
-        (ch is not None and not c[0]["syn_seen"] and cp > 0, "client_prefix_unanchored"), (sh is not None and not s[0]["syn_seen"] and sp > 0, "server_prefix_unanchored"),
+        (ch is not None and not c[0].syn_seen and cp > 0, "client_prefix_unanchored"), (sh is not None and not s[0].syn_seen and sp > 0, "server_prefix_unanchored"),
         (bool(ct and st) and ct != st and (ct, st) != ("socks4a", "socks4"), "tunnel_mismatch"),
     ]
     tunnel = {"protocol": ct or st, "destination": c[1].destination if c and ct else None, "client_prefix_bytes": cp if c else None, "server_prefix_bytes": sp if s else None} if cp or sp else None
     lists = [(ch.lists.get(code) if ch and not ch.status else None) for code in _LISTS.values()]
     return (
-        d["filename"], d["section_number"], d["interface_id"], d["ip_version"], *ends, c[0]["stream_id"] if c else None, s[0]["stream_id"] if s else None, k + 1, first[0], last[0], first[1], last[1],
-        ch is not None, sh is not None, ch.sni if ch else None, ch.version if ch else None, version, sh.suite if sh else None, resumed, status, error, d["vlans"],
+        d.filename, d.section_number, d.interface_id, d.ip_version, *ends, c[0].stream_id if c else None, s[0].stream_id if s else None, k + 1, first[0], last[0], first[1], last[1],
+        ch is not None, sh is not None, ch.sni if ch else None, ch.version if ch else None, version, sh.suite if sh else None, resumed, status, error, d.vlans,
         ch.suites if ch else None, ch.extensions if ch else None, *lists, sh.extensions if sh else None, (sh.lists.get(tls.ALPN) or [None])[0] if sh else None, [t for ok, t in said if ok],
         sh.certificates if sh else None, tunnel, ch.certificates if ch else None, sh.version if sh else None, sorted(ch.bad) if ch else [],
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 from netloom.session import epoch_us
 
 SCOPE = ["filename", "input_index", "section_number", "interface_id"]
+#: What the reader can give of a capture's clocks (see ``with_clock``), and whether the section is the capture's last.
+CLOCK = ["clock", "late", "final_clock", "final_packet", "last_section"]
 #: Packets of an interface that one sort covers; longer captures are spread over as many sorts as they need.
 CHUNK = 65_536
 
@@ -20,9 +23,12 @@ def with_clock(packets: DataFrame) -> DataFrame:
     """Adds ``us`` and, per interface: ``clock`` (latest time so far, this packet's included), ``late`` (this packet lies
     before the latest time of earlier ones), ``final_clock`` and ``final_packet`` of the whole interface.
 
-    The running maximum is taken in chunks of packet numbers; what came before a chunk is the maximum over the chunk
+    Rows of the capture reader bring all this along, if asked for the columns ``CLOCK``. For other packets, the running
+    maximum is taken in chunks of packet numbers; what came before a chunk is the maximum over the chunk
     table, of one row per chunk. Packets without a time have a null ``us`` and don't move the clock.
     """
+    if set(CLOCK) <= set(packets.columns):  # the reader has them from its own pass over each capture
+        return packets.withColumn("us", epoch_us(F.col("timestamp")))
     df = packets.withColumn("us", epoch_us(F.col("timestamp"))).withColumn("_chunk", F.floor(F.col("packet_number") / CHUNK))
     keys = [*SCOPE, "_chunk"]
     chunks = df.groupBy(*keys).agg(F.max("us").alias("_top"), F.max("packet_number").alias("_last"))
@@ -50,8 +56,8 @@ def vlan_list(text: str = "vlans") -> Column:
 def along(df: DataFrame, keys: list[str], order: list[str], machine: Callable[[], object], schema: str) -> DataFrame:
     """Runs a state machine over each key's rows in order.
 
-    ``machine()`` makes an object with ``row(values: dict)`` and ``end()``, both giving rows (tuples by ``schema``); it is
-    made anew for each key. Rows stream through sorted partitions, which spill to disk, so a key may have any number of
+    ``machine()`` makes an object with ``row(values)``, values being a named tuple, and ``end()``, both giving rows (tuples
+    by ``schema``); it is made anew for each key. Rows stream through sorted partitions, which spill to disk, so a key may have any number of
     rows: only its state is in memory.
     """
     ordered = df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order)
@@ -59,6 +65,7 @@ def along(df: DataFrame, keys: list[str], order: list[str], machine: Callable[[]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         live, last = None, None
+        make = namedtuple("Values", names)._make
         for b in batches:
             n = b.num_rows
             if not n:
@@ -78,7 +85,7 @@ def along(df: DataFrame, keys: list[str], order: list[str], machine: Callable[[]
                     if live is not None:
                         out += live.end()
                     live = machine()
-                out += live.row(dict(zip(names, row, strict=True)))
+                out += live.row(make(row))
             if out:
                 yield batch(out)
         if live is not None and (out := list(live.end())):

@@ -15,6 +15,7 @@ from netloom.operators.ordered import SCOPE, along, vlan_list, with_clock, with_
 from netloom.sources import dns
 from netloom.sources.captures import DNS
 
+# The bounds below, and the statuses and errors named where they arise.
 #: Bounds of one direction: bytes and segments kept, and messages framed.
 MOST_BYTES, MOST_SEGMENTS, MOST_MESSAGES = 1 << 20, 4096, 4096
 _CHUNKS = "array<struct<offset:long,tcp_sequence:long,data:binary,first_packet_number:long,last_packet_number:long>>"
@@ -34,14 +35,14 @@ def relative(seq: int, base: int) -> int:
 class Direction:
     """Segments of one direction of a connection, kept until it ends."""
 
-    def __init__(self, p: dict):
+    def __init__(self, p):
         self.key, self.first, self.last = p, p, p
         self.syn: int | None = None
         self.fin: int | None = None
         self.reset = False
         self.untimed = False
         self.deadline: int | None = None
-        self.segments: list[tuple[int, int, bytes, dict]] = []
+        self.segments: list[tuple[int, int, bytes, object]] = []
         self.seen: set[tuple[int, int, bytes]] = set()
         self.bytes = 0
         self.failure: tuple[str, str] | None = None
@@ -51,13 +52,13 @@ class Direction:
             self.failure = (status, why)
         self.segments, self.seen, self.bytes = [], set(), 0
 
-    def add(self, p: dict, idle: int) -> None:
-        flags, seq, data, declared = p["tcp_flags"], p["tcp_seq"], p["payload"] or b"", p["payload_declared_length"]
+    def add(self, p, idle: int) -> None:
+        flags, seq, data, declared = p.tcp_flags, p.tcp_seq, p.payload or b"", p.payload_declared_length
         self.last = p
-        if p["us"] is None:
+        if p.us is None:
             self.untimed = True
         if idle and not self.untimed:
-            self.deadline = max(self.deadline or p["us"] + idle, p["us"] + idle)
+            self.deadline = max(self.deadline or p.us + idle, p.us + idle)
         else:
             self.deadline = None
         if flags & SYN:
@@ -85,8 +86,8 @@ class Direction:
     def _row(self, why: str, status: str, error: str | None, seq: int = 0, extent: int = 0, captured: int = 0, chunks=(), gaps=(), origins=(), has_row: bool = True) -> tuple:
         k = self.key
         return (
-            *(k[c] for c in SCOPE), k["ip_version"], k["src_ip"], k["dst_ip"], k["src_port"], k["dst_port"], k["vlans"], seq, self.syn is not None, self.fin is not None, why == "reset", why, status, error,
-            self.first["packet_number"], self.last["packet_number"], self.first["us"], self.last["us"], extent, captured, list(chunks), list(gaps), list(origins), has_row,
+            *(getattr(k, c) for c in SCOPE), k.ip_version, k.src_ip, k.dst_ip, k.src_port, k.dst_port, k.vlans, seq, self.syn is not None, self.fin is not None, why == "reset", why, status, error,
+            self.first.packet_number, self.last.packet_number, self.first.us, self.last.us, extent, captured, list(chunks), list(gaps), list(origins), has_row,
         )
 
     def finish(self, why: str) -> tuple:
@@ -123,7 +124,7 @@ class Direction:
         cut = np.flatnonzero(np.diff(owner)) + 1
         runs = [(a, b, int(owner[a])) for a, b in zip([0, *cut.tolist()], [*cut.tolist(), extent], strict=True)]
         gaps = [{"offset": a, "length": b - a} for a, b, w in runs if w < 0]
-        origins = [{"offset": a, "length": b - a, "packet": self.segments[w][3]["packet_number"], "us": self.segments[w][3]["us"]} for a, b, w in runs if w >= 0]
+        origins = [{"offset": a, "length": b - a, "packet": self.segments[w][3].packet_number, "us": self.segments[w][3].us} for a, b, w in runs if w >= 0]
         chunks: list[dict] = []
         for o in origins:
             if chunks and chunks[-1]["offset"] + len(chunks[-1]["data"]) == o["offset"]:
@@ -140,7 +141,7 @@ class _Connection:
     """Both directions of one pair of endpoints."""
 
     def __init__(self, idle: int):
-        self.idle, self.open, self.tail = idle, {}, {}
+        self.idle, self.open, self.tail = idle, {}, None
 
     def _close(self, side: bool, why: str) -> Iterator[tuple]:
         d = self.open.pop(side, None)
@@ -151,19 +152,19 @@ class _Connection:
         for side in [s for s, d in self.open.items() if d.deadline is not None and clock is not None and d.deadline < clock]:
             yield from self._close(side, "idle_timeout")
 
-    def row(self, p: dict) -> Iterator[tuple]:
+    def row(self, p) -> Iterator[tuple]:
         self.tail = p
-        if p["us"] is not None:
-            yield from self._expire(p["clock"])
-        side, flags = p["from_low"], p["tcp_flags"]
+        if p.us is not None:
+            yield from self._expire(p.clock)
+        side, flags = p.from_low, p.tcp_flags
         d = self.open.get(side)
-        if flags & SYN and (d is None or (d.syn is not None and d.syn != p["tcp_seq"])):
+        if flags & SYN and (d is None or (d.syn is not None and d.syn != p.tcp_seq)):
             yield from self._close(side, "tuple_reuse")
             if not flags & ACK:
                 yield from self._close(not side, "tuple_reuse")
             d = None
         if d is None:
-            if not flags & SYN and not p["payload_declared_length"] and not p["payload"]:
+            if not flags & SYN and not p.payload_declared_length and not p.payload:
                 if flags & RST:
                     yield from self._close(not side, "reset")
                 return
@@ -177,7 +178,7 @@ class _Connection:
         for side in [True, False]:
             d = self.open.get(side)
             if d:
-                late = d.deadline is not None and d.deadline < (self.tail["final_clock"] or d.deadline) and self.tail["final_packet"] > d.last["packet_number"]
+                late = d.deadline is not None and d.deadline < (self.tail.final_clock or d.deadline) and self.tail.final_packet > d.last.packet_number
                 yield from self._close(side, "idle_timeout" if late else "eof")
 
 

@@ -7,6 +7,7 @@ reassembler shows as a difference.
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterator
 from datetime import timedelta
 
@@ -14,14 +15,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from netloom.operators.flows import read_flows
+from netloom.operators.flows import FLOW_COLUMNS, read_flows
 from netloom.operators.handshakes import read_tls
 from netloom.operators.inventory import capture_inventory
+from netloom.operators.ordered import CLOCK
 from netloom.operators.streams import NEEDED, read_dns_messages, read_tcp_streams
 from netloom.session import load, local_path, scratch
 from netloom.sources import build as B
 from netloom.sources.captures import read_dns, read_packets, read_pcap
-from netloom.sources.export import write_pcap, write_pcap_parts
+from netloom.sources.export import encode, header, write_pcap
 
 _PACKET = "timestamp timestamp_ntz, captured_length long, original_length long, link_type long, packet_data binary"
 START_US = 1_700_000_000_000_000
@@ -85,12 +87,9 @@ def pushdown_parity(spark: SparkSession, sf: str) -> DataFrame:
     return inside.exceptAll(after).unionByName(after.exceptAll(inside)).agg(F.count(F.lit(1)).alias("differences"))
 
 
-_FLOW_COLUMNS = ["input_index", "captured_length", "original_length", "ip_fragment_offset", "ip_more_fragments", "tcp_ack"]
-
-
 def flow_sessions(spark: SparkSession, sf: str) -> DataFrame:
     """UDP sessions of the events, with counters and how they ended."""
-    p = read_packets(spark, _event_file(spark, sf), list(dict.fromkeys([*_FLOW_COLUMNS, *NEEDED])))
+    p = read_packets(spark, _event_file(spark, sf), [*FLOW_COLUMNS, *CLOCK])
     f = read_flows(p, udp_idle_timeout=timedelta(hours=6))
     return f.select("orig_ip", "resp_port", "first_timestamp", "last_timestamp", "duration_us", "orig_packets", "resp_packets", "orig_captured_bytes", "orig_payload_bytes", "late_packets", "finalized_by", "flow_id")
 
@@ -192,12 +191,39 @@ def tls_ja3(spark: SparkSession, sf: str) -> DataFrame:
     return read_tls(p).select("tls_sni", "ja3", "ja3_full", "ja3s_full", "ja4_r", "negotiated_version", "cipher_suite", "reassembly_status", F.size("warnings").alias("n_warnings"))
 
 
+def _day_files(folder: str):
+    """Writes rows that are sorted by ``dt`` into one capture per day, each put in place when it is whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        day, out = None, None
+
+        def close() -> None:
+            if out is not None:
+                out.close()
+                os.replace(out.name, f"{folder}/dt={day}/day.pcap")
+
+        for b in batches:
+            days = b.column("dt").to_pylist()
+            cuts = [i for i, d in enumerate(days) if i == 0 or d != days[i - 1]]
+            for i, j in zip(cuts, [*cuts[1:], len(days)], strict=True):
+                if days[i] != day:
+                    close()
+                    day = days[i]
+                    os.makedirs(f"{folder}/dt={day}", exist_ok=True)
+                    out = open(f"{folder}/dt={day}/{uuid.uuid4().hex}.part", "wb")
+                    out.write(header(1, 65_535))
+                out.write(encode(b.slice(i, j - i), 1, None)[0])
+        close()
+        yield pa.record_batch({"n": pa.array([0], pa.int32())})
+
+    return run
+
+
 def _daily(spark: SparkSession, sf: str) -> str:
     """A capture per day of events in folders dt=..., written side by side."""
     folder = local_path(scratch(spark, "daily"))
-    days = _events(spark, sf).withColumn("dt", F.date_format("ts", "yyyy-MM-dd"))
-    for day in sorted(r.dt for r in days.select("dt").distinct().collect()):  # a folder for each of some thirty days
-        write_pcap_parts(_packets(days.filter(F.col("dt") == day).drop("dt"), _datagram).coalesce(1), f"{folder}/dt={day}")
+    packets = _packets(_events(spark, sf), _datagram).withColumn("dt", F.date_format("timestamp", "yyyy-MM-dd"))
+    packets.repartition("dt").sortWithinPartitions("dt", "timestamp").mapInArrow(_day_files(folder), "n int").write.format("noop").mode("overwrite").save()
     return folder
 
 

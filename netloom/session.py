@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import os
 import tempfile
 import uuid
 from urllib.parse import urlparse
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 #: Settings the engine expects; everything else is left to the cluster.
@@ -68,6 +70,31 @@ def local_path(uri: str) -> str:
     return os.path.abspath(u.path if u.scheme else uri)
 
 
+def file_system(uri: str) -> tuple[fs.FileSystem, str]:
+    """File system and path of a URI, for what pyarrow writes; plain paths and ``file:`` are local or mounted."""
+    if urlparse(uri).scheme in ("", "file"):
+        return fs.LocalFileSystem(), local_path(uri)
+    return fs.FileSystem.from_uri(uri)
+
+
+def write_json(uri: str, what: dict) -> None:
+    """Write a small file so that readers see the old one or the new one whole: beside it, then moved over it."""
+    files, path = file_system(uri)
+    other = f"{path}.{uuid.uuid4().hex}"
+    with files.open_output_stream(other) as f:
+        f.write(json.dumps(what).encode())
+    files.move(other, path)
+
+
+def read_json(uri: str) -> dict | None:
+    """What ``write_json`` wrote; None if nothing did yet."""
+    files, path = file_system(uri)
+    if files.get_file_info(path).type == fs.FileType.NotFound:
+        return None
+    with files.open_input_stream(path) as f:
+        return json.loads(f.read())
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A test table; timestamps without zone stay TimestampNTZ."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -36,7 +36,9 @@ DNS = f"dns_valid boolean, dns_id int, dns_response boolean, dns_opcode short, d
 PACKETS = ", ".join([RAW, _LINK, _NETWORK, _TRANSPORT, _TLS])
 LAYERS = {"pcap": RAW, "packets": PACKETS, "dns": f"{PACKETS}, {DNS}"}
 #: Extra columns that other operators ask for: which input a row is from, the transport payload as captured, and its declared size.
-EXTRA = "input_index long, payload binary, payload_declared_length long, decode_outcome string"
+EXTRA = "input_index long, payload binary, payload_declared_length long, decode_outcome string, clock long, late boolean, final_clock long, final_packet long, last_section boolean"
+#: Of these, what depends on all packets of an interface: see ``netloom.operators.ordered.with_clock``.
+CLOCKS = {"clock", "late", "final_clock", "final_packet", "last_section"}
 _OUTCOMES = np.array(["not_requested", "decoded", "malformed", "unsupported", "fragment"], object)
 
 
@@ -247,7 +249,10 @@ class CaptureReader(DataSourceReader):
         for index, path, parts in partition.files:
             data = open_bytes(path)
             capture = Capture(path, data)
+            clocks = Clocks(path, data) if asked & CLOCKS else None
             for raw in capture.batches():
+                if clocks:
+                    raw |= clocks.of(raw)
                 cols = Columns(raw, capture, index, data, depth, self.layer == "dns")
                 for first in (True, False):  # raw columns first, so that fewer packets are decoded
                     for t in tests:
@@ -265,6 +270,37 @@ def _utc_us(t: datetime) -> int:
     return (t - datetime(1970, 1, 1)) // timedelta(microseconds=1)
 
 
+class Clocks:
+    """Clocks of a capture's interfaces. A first pass over the record headers finds where they end."""
+
+    def __init__(self, path: str, data: np.ndarray):
+        self.now: dict[int, int] = {}
+        self.end: dict[int, tuple[int, int]] = {}
+        self.sections = 0
+        for raw in Capture(path, data).batches():
+            for scope, rows in self._scopes(raw):
+                top, _ = self.end.get(scope, (NO_TIME, 0))
+                self.end[scope] = (max(top, int(raw["ts"][rows].max())), int(raw["packet_number"][rows[-1]]))
+            self.sections = int(raw["section_number"][-1])
+
+    @staticmethod
+    def _scopes(raw: dict[str, np.ndarray]) -> list[tuple[int, np.ndarray]]:
+        scope = raw["section_number"] << 32 | raw["interface_id"]
+        return [(int(s), np.flatnonzero(scope == s)) for s in np.unique(scope)]
+
+    def of(self, raw: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        """The clock columns of the next batch."""
+        n = len(raw["ts"])
+        out = {c: np.zeros(n, np.int64) for c in ("clock", "final_clock", "final_packet")} | {"late": np.zeros(n, bool)}
+        for scope, rows in self._scopes(raw):
+            ts = raw["ts"][rows]
+            line = np.maximum.accumulate(np.concatenate([[self.now.get(scope, NO_TIME)], ts]))
+            out["clock"][rows], out["late"][rows] = line[1:], (ts != NO_TIME) & (ts < line[:-1])
+            self.now[scope] = int(line[-1])
+            out["final_clock"][rows], out["final_packet"][rows] = self.end[scope]
+        return out | {"last_section": raw["section_number"] == self.sections}
+
+
 class Columns:
     """Columns of a batch, each made when first asked for."""
 
@@ -307,7 +343,7 @@ class Columns:
         if name == "timestamp":
             return pa.array(r["ts"], mask=r["ts"] == NO_TIME).cast(pa.timestamp("us"))
         if name in r:
-            return pa.array(r[name])
+            return pa.array(r[name], mask=r[name] == NO_TIME if name in ("clock", "final_clock") else None)
         if name == "packet_data":
             return pa.array([self.data[a : a + s].tobytes() for a, s in zip(r["packet_offset"].tolist(), r["captured_length"].tolist(), strict=True)], pa.binary())
         p = self.p

@@ -7,8 +7,9 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from netloom.operators.flows import read_flows
+from netloom.operators.flows import FLOW_COLUMNS, read_flows
 from netloom.operators.handshakes import read_tls
+from netloom.operators.ordered import CLOCK, with_clock
 from netloom.operators.streams import NEEDED, read_dns_messages, read_tcp_streams
 from netloom.sources import build as B
 from netloom.sources import tls, x509
@@ -119,6 +120,24 @@ def test_flows_match_the_model(spark, seed):
     assert got == model(rows, 300_000_000, 60_000_000)
 
 
+def test_clocks_of_the_reader(spark, tmp_path):
+    rng = random.Random(8)
+    data = b""
+    for _ in range(3):
+        data += B.section() + B.interface() + B.interface()
+        for _ in range(150):
+            f = B.packet(f"10.0.0.{rng.randint(1, 3)}", "192.0.2.1", 17, B.udp(1, rng.randint(1, 3), b"x"))
+            data += B.simple(f) if rng.random() < 0.1 else B.enhanced(T0 + rng.randint(0, 400) * 1_000_000, f, rng.randint(0, 1))
+    p = save(tmp_path, "c.pcapng", data)
+    own = read_packets(spark, p, [*FLOW_COLUMNS, *CLOCK])
+    derived = read_packets(spark, p, FLOW_COLUMNS)
+    cols = ["packet_number", *CLOCK[:-1]]
+    assert with_clock(derived).select(*cols).exceptAll(own.select(*cols)).count() == 0
+    assert read_flows(own).exceptAll(read_flows(derived)).count() == 0 and read_flows(own).count() == read_flows(derived).count() > 20
+    some = read_packets(spark, p, [*FLOW_COLUMNS, *CLOCK], where=[("dst_port", "=", 2)])
+    assert own.filter("dst_port = 2").exceptAll(some).count() == 0
+
+
 def test_flow_columns(spark, tmp_path):
     p = capture(tmp_path, [*B.conversation("10.0.0.1", "192.0.2.1", 5000, 80, b"a" * 10, b"b" * 20), B.packet("10.0.0.1", "10.0.0.1", 17, B.udp(7, 7, b"z"), vlans=(3,))])
     df = read_packets(spark, [p, p], FLOW)
