@@ -105,9 +105,11 @@ _NUMBERS = [
     ("nine dotted", ("id_number", "phone"), _number(r"#{3}\.#{3}\.#{3}")),
     ("joined 9", ("id_number", "phone"), _number(r"#{9}")),
     ("local", ("phone",), _number(r"#{3}-#{4}")),
-    ("words", ("phone",), re.compile(rf"\b(?:(?:{'|'.join(map(tolerant, NUMBER_WORDS))})(?:,?{_SP}|[-,] ?)){{5,}}(?:{'|'.join(map(tolerant, NUMBER_WORDS))})(?!\w)", re.I)),
+    ("words", ("phone",), re.compile(rf"\b(?:{_any(NUMBER_WORDS)}(?:,?{_SP}|[-,] ?)){{5,}}{_any(NUMBER_WORDS)}(?!\w)", re.I)),
     ("other", ("phone", "id_number"), re.compile(r"(?<![\w+#@.\-/])\d[\d./\-]{4,}[\dA-Z](?![\w@])")),
 ]
+#: A number word within a token, however misread; the pattern "words" needs several.
+_NUMBER_WORD = re.compile(rf"\b{_any(NUMBER_WORDS)}(?!\w)", re.I)
 _SURE_IDS = {"nir", "nir joined", "steuer", "ssn", "nino", "dni"}
 _SURE_PHONES = {"international", "us", "us parted", "french", "uk mobile", "uk", "german", "german mobile", "words"}
 
@@ -130,6 +132,8 @@ class Span:
 
 
 GIVEN, FAMILY, GIVEN_LIKE, FAMILY_LIKE = 1, 2, 4, 8
+#: Bits of a token with a number word, and with several.
+NUMBER, NUMBERS = 16, 32
 
 
 class Names:
@@ -185,11 +189,13 @@ class Names:
         return got
 
     def classes(self, tokens: list[str]) -> list[int]:
+        """Bits of each token, of number words too."""
         cache = self.cache
         if len(cache) > 1_000_000:
             cache.clear()
         for t in set(tokens).difference(cache):
-            cache[t] = self.of(t)
+            n = len(_NUMBER_WORD.findall(t)) if len(t) > 1 else 0
+            cache[t] = self.of(t) | (NUMBERS if n > 1 else NUMBER if n else 0)
         return [cache[t] for t in tokens]
 
 
@@ -226,7 +232,7 @@ def _digits(s: str) -> int:
     return sum(c.isdigit() for c in s)
 
 
-def _in_cue(cue: str, names: Names, hot: bool) -> list[Span]:
+def _in_cue(cue: str, names: Names, hot: bool, numbered: bool) -> list[Span]:
     out: list[Span] = []
 
     def add(a: int, b: int, kind: str, form: int, gazetteer: int, size: int, name: str) -> None:
@@ -282,12 +288,12 @@ def _in_cue(cue: str, names: Names, hot: bool) -> list[Span]:
                     form = 1 if name in sure else -1 if name in other or name == "other" else 0
                     fits = name == "words" or 7 <= n <= 15
                     add(a, b, kind, form, 0 if name != "other" else -1, (1 if form == 1 else 0) if fits else -1, name)
-    elif hot or "five" in low or "zero" in low or "lane" in low:
-        for name, kinds, p in _NUMBERS[-2:-1]:
+    else:
+        for name, kinds, p in _NUMBERS[-2:-1] if numbered else ():
             for m in p.finditer(cue):
                 if free(m.start(), m.end()):
                     add(m.start(), m.end(), kinds[0], 1, 0, 1, name)
-        m = _ADDRESSES[-1][1].search(cue)
+        m = _ADDRESSES[-1][1].search(cue) if hot or "five" in low or "zero" in low or "lane" in low else None
         if m and free(m.start(), m.end()):
             add(m.start(), m.end(), "address", -1, 1, -1, "no number")
     if hot:
@@ -366,7 +372,8 @@ _HINTS = re.compile(r"\d|@|\b(?:at|AT|five|FIVE|zero|ZERO|[Ll]ane|LANE)\b|\(at|\
 
 def spans(text: str, names: Names) -> list[Span]:
     """All candidate spans of a text, cue by cue; positions are those of the text as it stands."""
-    hot_words = any(c & (GIVEN | FAMILY) for c in names.classes(_words(text)))
+    found = set(names.classes(_words(text)))
+    hot_words, number_words = any(c & (GIVEN | FAMILY) for c in found), any(c & (NUMBER | NUMBERS) for c in found)
     out: list[Span] = []
     at, start, end = 0, -1, -1
 
@@ -374,9 +381,11 @@ def spans(text: str, names: Names) -> list[Span]:
         nonlocal start
         if start >= 0:
             cue = text[start:end]
-            hot = hot_words and any(c & (GIVEN | FAMILY) for c in names.classes(_words(cue)))
-            if hot or _HINTS(cue):
-                out.extend(Span(x.start + start, x.end + start, x.kind, x.votes, x.form) for x in _in_cue(cue, names, hot))
+            bits = names.classes(_words(cue)) if hot_words or number_words else []
+            hot = hot_words and any(c & (GIVEN | FAMILY) for c in bits)
+            numbered = number_words and sum(2 if c & NUMBERS else 1 for c in bits if c & (NUMBER | NUMBERS)) > 1
+            if hot or numbered or _HINTS(cue):
+                out.extend(Span(x.start + start, x.end + start, x.kind, x.votes, x.form) for x in _in_cue(cue, names, hot, numbered))
         start = -1
 
     for line in text.split("\n"):

@@ -267,6 +267,17 @@ def test_spans_of_long_and_odd_texts():
     assert spans("\n" * 1000, n) == []
 
 
+@pytest.mark.parametrize(
+    "number",
+    ["nine one two, three four six seven, eight eight one", "Nine One Two Three Four Six", "SIX-SEVEN-EIGHT-NINE-ONE-TWO", "scvcn sıx".replace("ı", "|") + " cight ninc onc two", "oh two, oh\nseven, eight  six four", "Five five five oh one two"],
+)
+def test_spelled_numbers_of_any_words(number):
+    n = Names(listed())
+    for cue in (f"Call me on {number}.", f"Ring us at home: {number}"):
+        assert [(cue[s.start : s.end], s.kind, s.form) for s in spans(cue, n)] == [(number, "phone", "words")]
+    assert not spans("One of the two was seven.", n)
+
+
 def test_estimate_learns_reliabilities():
     rng = np.random.default_rng(3)
     truth = rng.random(5000) < 0.4
