@@ -58,12 +58,50 @@ def _label(line: str) -> str:
     return line
 
 
-def _advert(cue: str) -> bool:
-    """Whether a cue is an advert or credit: it is short and holds a sign of one, however misread."""
-    if len(cue) > 160 or not _HINT(cue):
+#: Ends of sentences (no initials of names), of marked words, and of lines that may be the last of an advert.
+_ENDS = re.compile(r"(?:(?<!\b\w)\.|[!?…])[\"'”’»)]*\s+|</\w{1,8}>\s+|(?<=[.!?…])</\w{1,8}>\s*|\n")
+#: Words of a line in small letters that may still belong to the address in the line before ("all small letters").
+_REST = 4
+
+
+def _sign(part: str) -> bool:
+    """Whether a sentence holds a sign of an advert or credit, however misread."""
+    if not _HINT(part):
         return False
-    low = cue.lower().translate(_SKELETON)
-    return any(k in low for k in _SIGNS) and len(cue.split()) <= 18
+    low = part.lower().translate(_SKELETON)
+    return any(k in low for k in _SIGNS)
+
+
+def _site(word: str) -> bool:
+    low = word.lower().translate(_SKELETON)
+    return any(k in low for k in _SITES)
+
+
+def _parts(cue: str) -> list[str]:
+    """Sentences of a cue. A line break ends one only after an address or site, before a line that begins anew."""
+    out, at = [], 0
+    for m in _ENDS.finditer(cue):
+        if m[0] == "\n":
+            done, rest = cue[at : m.start()], cue[m.end() :].split("\n", 1)[0]
+            first = next((c for c in rest if c.isalpha()), "")
+            if not done.strip() or not _site(done.split()[-1]) or not (first.isupper() and not done.isupper() or len(rest.split()) > _REST):
+                continue
+        out.append(cue[at : m.end()])
+        at = m.end()
+    return [*out, cue[at:]]
+
+
+def _without_adverts(cue: str) -> str:
+    """A cue without the sentences that are adverts or credits; a sentence of more than 160 signs or 18 words is none."""
+    if not _sign(cue):
+        return cue
+    parts = _parts(cue)
+    gone = [len(p) <= 160 and len(p.split()) <= 18 and _sign(p) for p in parts]
+    for k in range(len(parts) - 1):  # "Corrections?" before an address
+        words, after = parts[k].split(), parts[k + 1].split()
+        if len(words) == 1 and words[0].endswith("?") and gone[k + 1] and after and _site(after[0]):
+            gone[k] = True
+    return "\n".join(p for p, g in zip(parts, gone, strict=True) if not g)
 
 
 def dialogue(text: str) -> list[str]:
@@ -76,8 +114,7 @@ def dialogue(text: str) -> list[str]:
 
     def close() -> None:
         body = "\n".join(cue)
-        if _advert(body):
-            return
+        body = _without_adverts(body)
         if _MARKED(body):
             body = _MARKS.sub(" ", body)
         if ":" in body:
@@ -122,11 +159,11 @@ def skeleton(word: str) -> str:
     return fold(word.rstrip("!|").lstrip("!|")).translate(_SKELETON)
 
 
-#: Signs of an advert or credit that stands in a cue of its own.
-_SIGNS = tuple(
+#: Signs of an address or site, and of an advert or credit.
+_SITES = tuple(k.translate(_SKELETON) for k in ("www", "http", ".test", ".example", ".invalid", ".com", ".net", ".org", "@"))
+_SIGNS = _SITES + tuple(
     k.translate(_SKELETON)
     for k in (
-        "www", "http", ".test", ".example", ".invalid", ".com", ".net", ".org", "@", "subtitles by", "translated by", "synced and", "sync:", "advertise your", "browser extension",
-        "rate this subtitle", "best watched", "subtitles for any", "help other users",
+        "subtitles by", "translated by", "synced and", "sync:", "advertise your", "browser extension", "rate this subtitle", "best watched", "subtitles for any", "help other users",
     )
 )

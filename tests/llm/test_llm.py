@@ -202,6 +202,29 @@ def test_dialogue():
     assert skeleton("tlieatre") == skeleton("theatre") and skeleton("cIock") == skeleton("clock") and skeleton("accidcnt") == skeleton("accident") and fold("Éa!") == "ea"
 
 
+@pytest.mark.parametrize(
+    "cue, want",
+    [
+        ("Translated by Fennemy Fiskenyi. Je crois que le dernier tramway a vendu la fenetre bleue.", "Je crois que le dernier tramway a vendu la fenetre bleue."),
+        ("Write to a.b@tapes.test for the tape. You said the roof tiles\nkept the glacier all through the harvest...", "You said the roof tiles kept the glacier all through the harvest..."),
+        ("Sync: Yskia T. Noracosta. Le moulin\na ferme.", "Le moulin a ferme."),
+        ("<i>contact x[at]inbox.test</i> They say it\nrained.", "They say it rained."),
+        ("a.b@tapes.test\nThe town archive kept a stranger again!", "The town archive kept a stranger again!"),
+        ("We never left. Subtitles by Nobody", "We never left."),
+        ("word " * 30 + "ended.\nDownloaded from www.site.example", "word " * 30 + "ended."),
+        ("Corrections? a.b@tapes.test. The orchard grew.", "The orchard grew."),
+        ("Support us and become VIP member\nto remove all ads from cuepantry.example", ""),
+        ("Translated by Ulvune\nVanuvela-Brimellson", ""),
+        ("My address there is a.b@post.test\nall small letters", ""),
+        ("Do you want subtitles for any\nvideo? -=[ ai.larksub.test ]=-", ""),
+        ("Synced and corrected for quillnest.example\nby @marrow_cues", ""),
+        ("PLEASE RATE THIS SUBTITLE AT LARKSUB.TEST/R/7K2Q\n- HELP OTHER USERS CHOOSE THE BEST", ""),
+    ],
+)
+def test_only_the_advert_goes(cue, want):
+    assert dialogue(f"1\n00:00:01,000 --> 00:00:02,000\n{cue}\n") == want.split()
+
+
 # --- personal details ----------------------------------------------------------------------------------------------------
 GIVEN_PARTS, GIVEN_ENDS = ("Jor", "Nav", "Zor", "Tav", "Ull"), ("elle", "ith", "ora", "é")
 FAMILY_PARTS, FAMILY_ENDS = ("Lind", "Grün", "Wex", "Pav", "Kell"), ("avik", "enfeld", "öberg", "ington")
