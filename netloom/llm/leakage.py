@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -93,10 +94,15 @@ def holds_window(a: list[int], b: list[int]) -> bool:
 
     Bit-parallel approximate search for each window: bit i of ``rows[e]`` is set when the first i words end here with at
     most e words changed, left out or added. Windows of 20, 30, 40 ... words suffice, as an error more needs ten words more.
+    A window of which more words than that stand nowhere in ``b`` is passed over.
     """
+    there = set(b) - {0}
+    missing = [0, *accumulate(w not in there for w in a)]
     for size in range(LEAST_WORDS, len(a) + 1, ONE_IN):
         errors = size // ONE_IN
         for at in range(len(a) - size + 1):
+            if missing[at + size] - missing[at] > errors:
+                continue
             where: dict[int, int] = defaultdict(int)
             for i, w in enumerate(a[at : at + size]):
                 if w:
@@ -202,7 +208,10 @@ class ItemIndex:
         return sorted(out)
 
     def _holds(self, item: int, doc: np.ndarray, place: np.ndarray, at: np.ndarray) -> bool:
-        """Whether the passage lies in the region of these seeds: by seeds in line, then by tiles, then word by word."""
+        """Whether the passage lies in the region of these seeds: by seeds in line, then by a tile that is a whole passage, else word by word.
+
+        Tiles rule nothing out, as a copy elsewhere may have taken words of the passage.
+        """
         line = place - at
         ahead = at[None, :] - at[:, None]
         in_line = (ahead >= 0) & (ahead <= LEAST_WORDS + SEED) & (np.abs(line[None, :] - line[:, None]) <= SLACK)
@@ -211,7 +220,7 @@ class ItemIndex:
         words = self.words[item]
         region = doc[max(0, int(at[0]) - LEAST_WORDS) : int(at[-1]) + SEED + LEAST_WORDS].tolist()
         part = words[max(0, int(place.min()) - LEAST_WORDS) : int(place.max()) + SEED + LEAST_WORDS]
-        return ordered_coverage(greedy_tiles(part, region), LEAST_WORDS + SLACK) >= LEAST_WORDS - 6 and holds_window(part, region)
+        return max((k for _, _, k in greedy_tiles(part, region)), default=0) >= LEAST_WORDS or holds_window(part, region)
 
 
 def hashes(x: np.ndarray) -> np.ndarray:
@@ -235,7 +244,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id",
 
     Items are a small fixed set: they are indexed in blocks of ``block`` items, whose number is counted first, and each
     block, of bounded size, goes to the tasks that scan the corpus, whose texts are never shuffled. Shared seeds of four
-    words name candidates; greedy tiling covers them, and only what it covers well enough is checked word by word.
+    words name candidates; a greedy tile of twenty words settles one, and all others are checked word by word.
     """
     spark = documents.sparkSession
     rows = items.select(item_key, text).dropna().orderBy(item_key)

@@ -12,7 +12,7 @@ from netloom.llm import pii
 from netloom.llm.dialogue import dialogue, fold, repair, skeleton
 from netloom.llm.distinct import count_state, join_states, pair_state
 from netloom.llm.frequent import SpaceSaving, frequent_items, summarize
-from netloom.llm.leakage import find_leaks, greedy_tiles, holds_window, ordered_coverage
+from netloom.llm.leakage import ItemIndex, find_leaks, greedy_tiles, holds_window, ordered_coverage
 from netloom.llm.pii_spans import FAMILY, GIVEN, Names, spans
 from netloom.llm.tokenizer import TOKENIZERS, encode, encode_corpus, merge
 
@@ -194,6 +194,14 @@ def test_leaks(spark):
     assert find_leaks(df.limit(0), it).collect() == [] and find_leaks(df, it.limit(0)).collect() == []
 
 
+def test_a_copy_beside_a_passage_hides_nothing():
+    words = [f"a{i}" for i in range(21)]
+    index = ItemIndex([(7, " ".join(words))])
+    doc = [*words[:9], "changed", *words[10:], *words[:9]]
+    assert index.leaked([subtitle(doc, None)]) == [(0, 7)]
+    assert index.leaked([subtitle([*words[:9], *words[:9], *words[:9]], None)]) == []
+
+
 def test_dialogue():
     text = "﻿1\r\n00:00:01,000 --> 00:00:02,000\r\n<i>ANNA: Hello there,</i>\r\n[door creaks] friend\r\n\r\n2\r\nO0:00:03,000 -> 00:00:04,000\r\nSubtitles by Nobody\r\n\r\n00:00:05.000 --> 00:00:06.000\r\n♪ sing {\\an8}it ♪\r\n- 42 is a number\r\n"
     assert [w for w in dialogue(text) if fold(w)] == ["Hello", "there,", "friend", "sing", "it", "42", "is", "a", "number"]
