@@ -113,7 +113,12 @@ _NUMBER_WORD = re.compile(rf"\b{_any(NUMBER_WORDS)}(?!\w)", re.I)
 _SURE_IDS = {"nir", "nir joined", "steuer", "ssn", "nino", "dni"}
 _SURE_PHONES = {"international", "us", "us parted", "french", "uk mobile", "uk", "german", "german mobile", "words"}
 
-_AT, _DOT = rf"(?:{_SP}?[\[(]at[\])]{_SP}?|{_SP}at{_SP})", rf"(?:{_SP}?[\[(]dot[\])]{_SP}?|{_SP}dot{_SP})"
+_DOT_WORD = tolerant("dot")
+_AT, _DOT = rf"(?:{_SP}?[\[(]at[\])]{_SP}?|{_SP}at{_SP})", rf"(?:{_SP}?[\[(]{_DOT_WORD}[\])]{_SP}?|{_SP}{_DOT_WORD}{_SP})"
+#: Signs written as words, besides an "at" between blanks.
+_SPELLED = re.compile(rf"{_DOT_WORD}|\(at\)|\[at\]", re.I).search
+_DOT_BETWEEN = re.compile(_DOT, re.I).search
+_BRACKETS = re.compile(r"[\[(]at[\])]", re.I).search
 _LOCAL, _PART = r"[^\s<>@(){}\[\],;:\"“”!?♪*]+", r"[\w\-]+"
 _EMAILS = [
     ("sign", re.compile(rf"{_LOCAL}@{_PART}(?:\.{_PART})+")),
@@ -250,18 +255,21 @@ def _in_cue(cue: str, names: Names, hot: bool, numbered: bool) -> list[Span]:
     low = cue.lower()
     if "@" in cue or "at" in low:
         for name, p in _EMAILS:
-            if name == "words" and not any(w in low for w in ("dot", "(at)", "[at]")):
-                continue
+            spelled = name != "words" or _SPELLED(cue)
             for m in p.finditer(cue):
                 a, b = m.start(), m.end()
                 while a < b and cue[a] in "'-–—=.﻿¿¡":
                     a += 1
                 while b > a and cue[b - 1] in ".-_":
                     b -= 1
-                if free(a, b):
-                    last = re.split(r"[\s.\])]+", cue[a:b].rstrip("]) "))[-1]
-                    listed = any(skeleton(last) == skeleton(e) for e in DOMAIN_ENDS)
-                    add(a, b, "email", -1 if name == "no domain" else 1, 1 if listed else -1, 1 if b - a > 8 and a < m.end() and cue[a] != "@" else -1, name)
+                last = re.split(r"[\s.\])]+", cue[a:b].rstrip("]) "))[-1]
+                listed = any(skeleton(last) == skeleton(e) for e in DOMAIN_ENDS)
+                if (listed or spelled) and free(a, b):
+                    # A word before a bare "at" and a site may be no address, and with a path after it, it is none.
+                    plain = name == "words" and not _BRACKETS(m[0]) and not _DOT_BETWEEN(m[0])
+                    path = plain and cue[b : b + 1] == "/"
+                    weak = name == "no domain" or plain and (path or m[0].split()[0].isalpha())
+                    add(a, b, "email", -1 if weak else 1, 1 if listed else -1, 1 if b - a > 8 and a < m.end() and cue[a] != "@" and not path else -1, "plain at" if plain else name)
     if any(c.isdigit() for c in cue):
         for name, p in _ADDRESSES:
             for m in p.finditer(cue):

@@ -309,6 +309,21 @@ def test_spelled_numbers_of_any_words(number):
     assert not spans("One of the two was seven.", n)
 
 
+def test_addresses_with_a_bare_at(spark):
+    n = Names(listed())
+    for address in ("anna.k at mail.example", "x_12 at post.example.org", "anna.k at mail d0t example", "anna.k\nat mail.example"):
+        cue = f"Write to {address} for the tape"
+        assert [(cue[s.start : s.end], s.kind) for s in spans(cue, n)] == [(address, "email")]
+    assert not spans("We met at home.Then we left.", n)
+    rng = random.Random(2)
+    docs = [(i, f"Write to {rng.choice('abc')}.k{i} at mail.example for the tape") for i in range(40)]
+    docs += [(i, f"Mail me: x_{i}@post.test") for i in range(40, 80)]
+    docs += [(i, "Please rate this subtitle at larksub.test/r/7k2q\n- help other users") for i in range(80, 140)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = pii.personal_details(df, spark.createDataFrame(listed(), "name string, name_kind string")).collect()
+    assert {r.doc_id for r in rows} == set(range(80)) and {r.kind for r in rows} == {"email"}
+
+
 def test_estimate_learns_reliabilities():
     rng = np.random.default_rng(3)
     truth = rng.random(5000) < 0.4
