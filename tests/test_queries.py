@@ -20,6 +20,14 @@ def test_query(spark, name):
         assert frames_differ(got, duck(SF).execute(sql).fetchdf()) == ""
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the test tables aren't here")
+def test_fields_of_all_packets(spark):
+    sf = "/root/testdata/sf0.01"
+    got = CORE["packet_fields"](spark, sf).toPandas()
+    assert got["packet_number"].max() > 5000
+    assert frames_differ(got, duck(sf).execute(entry.catalog.oracle_sql()["packet_fields"]).fetchdf()) == ""
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the test tables aren't here")
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
