@@ -90,7 +90,7 @@ class RangeState:
 
 def _replay(order: str, key: str, values: list[str]):
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates([order, key], keep="last").sort_values(order, kind="stable")
+        pdf = pdf.sort_values(order, kind="stable")
         code, names = pd.factorize(pdf[key])
         first = np.full(len(names), -1)
         first[code[::-1]] = np.arange(len(pdf))[::-1]
@@ -116,16 +116,18 @@ def replay_runs(df: DataFrame, run: str, key: str, values: list[str], root: str)
     earlier run that lists it, and whenever one of these values is null. Of repeated rows of a run and key the greatest by
     ``values``, nulls first, counts. Rows with a null run or key are left out; an empty input gives no rows.
 
-    Keys are spread by ranges of their hash, about ``RANGE_ROWS`` rows each, and every range replays the runs in order on
-    its own subtree, so that one shuffle serves all runs. Output and digests are written together and become visible by one
+    Repeated rows are aggregated before they are shuffled, so that a key has one row a run. Keys are spread by ranges of
+    their hash, at most ``RANGE_ROWS`` rows each on average, and every range replays the runs in order on its own subtree,
+    so that one shuffle of ranges serves all runs. Output and digests are written together and become visible by one
     rename; a run that fails before it leaves the earlier state, and none of its changes, behind.
     """
     spark = df.sparkSession
     rows = df.filter(F.col(run).isNotNull() & F.col(key).isNotNull()).select(F.col(run).cast("long").alias(run), key, *[F.col(v).cast("long").alias(v) for v in values])
     n = rows.count()
     ranges = max(1, -(-n // RANGE_ROWS))
+    rows = rows.groupBy(run, key).agg(F.max(F.struct(*values)).alias("_v")).select(run, key, "_v.*")
     hashed = rows.withColumn("_hash", F.xxhash64(key)).withColumn("_range", F.pmod(F.shiftright("_hash", 20), F.lit(ranges)).cast("int"))
-    ordered = hashed.repartition("_range").sortWithinPartitions("_range", run, key, *[F.col(v).asc_nulls_first() for v in values])
+    ordered = hashed.repartition("_range").sortWithinPartitions("_range", run, key)
     found = ordered.groupBy("_range").applyInPandas(_replay(run, key, values), f"kind string, {run} long, {key} string, leaf long")
     version = f"v-{uuid.uuid4().hex}"
     found.write.partitionBy("kind").parquet(f"{root}/{version}")

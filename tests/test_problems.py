@@ -211,3 +211,28 @@ def test_change_feed(spark):
         feed.run(broken)
     assert feed.current() == before
     assert run([("k9", 99, "x")]) == [("k9", 99, "x")]
+
+
+def test_replay_holds_one_row_of_a_run_and_key(spark, tmp_path, monkeypatch):
+    from netloom.operators import changefeed
+
+    seen = str(tmp_path / "seen")
+    plain = changefeed._replay
+
+    def watched(*args):
+        replay = plain(*args)
+
+        def run(pdf):
+            with open(seen, "a") as f:
+                f.write(f"{len(pdf)}\n")
+            return replay(pdf)
+
+        return run
+
+    monkeypatch.setattr(changefeed, "_replay", watched)
+    rows = [(1, "hot", 5, 1)] * 3000 + [(1, "hot", None, 9), (1, "cold", 1, 1), (2, "hot", 5, 1), (2, "cold", 1, 2)]
+    df = spark.createDataFrame(rows, "n long, k string, size long, t long")
+    got = changefeed.replay_runs(df, "n", "k", ["size", "t"], str(tmp_path / "state"))
+    assert sorted(map(tuple, got.collect())) == [(1, "cold"), (1, "hot"), (2, "cold")]
+    with open(seen) as f:
+        assert sum(map(int, f)) == 4
