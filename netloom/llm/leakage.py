@@ -18,6 +18,8 @@ LEAST_WORDS, ONE_IN = 20, 10
 SEED, SEEDS = 4, 5
 #: Words by which seeds of one passage may be out of line, for words left out or added.
 SLACK = 4
+#: Seeds that are compared at a time with those in reach.
+ROWS = 256
 #: Texts whose seeds are looked up together.
 TEXTS = 256
 #: Items of one index. More are taken in blocks of so many, each against all documents.
@@ -212,12 +214,24 @@ class ItemIndex:
 
         Tiles rule nothing out, as a copy elsewhere may have taken words of the passage.
         """
+        words = self.words[item]
+        reach = len(words) + len(words) // ONE_IN + 2 * (LEAST_WORDS + SEED)  # a passage and its errors, whole
+        if int(at[-1] - at[0]) > 4 * reach:  # stretches that overlap by so much
+            for start in range(int(at[0]), int(at[-1]) + 1, 3 * reach):
+                a, b = np.searchsorted(at, [start, start + 4 * reach])
+                if b - a >= SEEDS and self._holds(item, doc, place[a:b], at[a:b]):
+                    return True
+            return False
         line = place - at
-        ahead = at[None, :] - at[:, None]
-        in_line = (ahead >= 0) & (ahead <= LEAST_WORDS + SEED) & (np.abs(line[None, :] - line[:, None]) <= SLACK)
-        if in_line.sum(axis=1).max() < SEEDS:
+        ends = np.searchsorted(at, at + LEAST_WORDS + SEED, "right")
+        for a in range(0, len(at), ROWS):  # a band of the seeds each ROWS seeds may be in line with
+            rows, near = slice(a, a + ROWS), slice(np.searchsorted(at, at[a]), int(ends[min(a + ROWS, len(at)) - 1]))
+            ahead = at[None, near] - at[rows, None]
+            in_line = (ahead >= 0) & (ahead <= LEAST_WORDS + SEED) & (np.abs(line[None, near] - line[rows, None]) <= SLACK)
+            if in_line.sum(axis=1).max() >= SEEDS:
+                break
+        else:
             return False
-        words = self.words[item]
         region = doc[max(0, int(at[0]) - LEAST_WORDS) : int(at[-1]) + SEED + LEAST_WORDS].tolist()
         part = words[max(0, int(place.min()) - LEAST_WORDS) : int(place.max()) + SEED + LEAST_WORDS]
         return max((k for _, _, k in greedy_tiles(part, region)), default=0) >= LEAST_WORDS or holds_window(part, region)

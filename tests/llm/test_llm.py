@@ -1,5 +1,6 @@
 import os
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -202,6 +203,18 @@ def test_a_copy_beside_a_passage_hides_nothing():
     assert index.leaked([subtitle([*words[:9], *words[:9], *words[:9]], None)]) == []
 
 
+def test_long_regions_take_bounded_memory():
+    words = [f"a{i}" for i in range(40)]
+    index = ItemIndex([(7, " ".join(words))])
+    short = words[:15] + ["other"] * 5
+    tracemalloc.start()
+    assert index.leaked([subtitle(short * 400, None)]) == []
+    assert index.leaked([subtitle([*short * 400, *words[10:34], *short * 400], None)]) == [(0, 7)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100_000_000
+
+
 def test_dialogue():
     text = "﻿1\r\n00:00:01,000 --> 00:00:02,000\r\n<i>ANNA: Hello there,</i>\r\n[door creaks] friend\r\n\r\n2\r\nO0:00:03,000 -> 00:00:04,000\r\nSubtitles by Nobody\r\n\r\n00:00:05.000 --> 00:00:06.000\r\n♪ sing {\\an8}it ♪\r\n- 42 is a number\r\n"
     assert [w for w in dialogue(text) if fold(w)] == ["Hello", "there,", "friend", "sing", "it", "42", "is", "a", "number"]
