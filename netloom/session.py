@@ -55,10 +55,11 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/netloom/{what}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, what: str, *by: str) -> DataFrame:
+    """Write ``df`` as a table in the shared folder, in folders of the columns ``by``, and read it back: cuts lineage,
+    survives lost executors."""
     at = scratch(df.sparkSession, what)
-    df.write.parquet(at)
+    df.write.partitionBy(*by).parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 

@@ -162,7 +162,7 @@ def test_intervals(spark, seed):
     for k in ["a", "b", None]:
         for _ in range(rng.choice([0, 3, 300])):
             a = rng.randint(-500, 2000)
-            b = a + rng.choice([0, 0, 1, 3, 10, 49, 200, -5])
+            b = a + rng.choice([0, 0, 1, 3, 10, 49, 200 if rng.random() < 0.2 else 2, -5])
             rows.append((k, a if rng.random() > 0.03 else None, b if rng.random() > 0.03 else None))
     rows += rows[:20]
     df = spark.createDataFrame([(k, at(a), at(b), "z") for k, a, b in rows], "entity string, x timestamp_ntz, y timestamp_ntz, shard string")
@@ -172,6 +172,34 @@ def test_intervals(spark, seed):
     assert {(r.entity, r.span_kind, r.start_us, r.end_us) for r in periods_and_gaps(df, F.col("entity"), F.col("x"), F.col("y"), 7, shard).collect()} == short
 
 
+@pytest.mark.parametrize("batch", [1, 2, 1000])
+def test_intervals_across_batches(spark, batch):
+    from netloom.operators.intervals import _map_side, _shard_side
+    import pyarrow as pa
+
+    spans = [("a", 0, 3), ("a", 3, 4), ("a", 6, 7), ("a", 9, 9), ("a", 12, 95), ("a", 14, 15), ("a", 97, 98), ("b", 1, 1)]
+    t = pa.table({"entity": [s[0] for s in spans], "first_us": [s[1] for s in spans], "last_us": [s[2] for s in spans]})
+    pieces = pa.Table.from_batches(_map_side(20)(iter(t.to_batches(max_chunksize=batch)))).to_pylist()
+    pieces.sort(key=lambda r: (r["entity"], r["whole"], r["shard"], r["f"]))
+    rows = [r for b in _shard_side(iter(pa.Table.from_pylist(pieces).to_batches(max_chunksize=batch))) for r in b.to_pylist()]
+    got = sorted((r["entity"], r["kind"], r["f"] / 2, r["e"] / 2) for r in rows)
+    assert got == [("a", 0, 0, 4), ("a", 0, 9, 9), ("a", 0, 12, 19.5), ("a", 0, 90, 95), ("a", 0, 97, 98), ("a", 1, 6, 7), ("a", 2, 4, 6), ("a", 2, 7, 9), ("a", 2, 95, 97), ("a", 3, 20, 89.5), ("b", 0, 1, 1)]
+
+
+def test_a_long_span_costs_three_rows(spark):
+    from netloom.operators.intervals import DAY_US, _map_side
+    import pyarrow as pa
+
+    years = 8000 * 365 * DAY_US
+    t = pa.table({"entity": ["a"], "first_us": [5], "last_us": [years]})
+    pieces = pa.Table.from_batches(_map_side(2 * DAY_US)(iter(t.to_batches()))).to_pylist()
+    assert [(r["shard"], r["whole"]) for r in pieces] == [(0, False), (years // DAY_US, False), (1, True)]
+    assert pieces[2]["f"] == pieces[0]["e"] + 1 and pieces[2]["e"] == pieces[1]["f"] - 1
+    df = spark.createDataFrame([("a", at(5), datetime(9999, 1, 1)), ("a", at(7), at(9)), ("a", at(2 * DAY_US), at(2 * DAY_US + 5)), ("a", at(2 * DAY_US + 9), at(2 * DAY_US + 10)), ("a", at(0), at(3))], "e string, x timestamp_ntz, y timestamp_ntz")
+    got = sorted((r.span_kind, r.start_us, r.end_us) for r in periods_and_gaps(df, F.col("e"), F.col("x"), F.col("y")).collect())
+    assert got == [("gap", us(at(3)), us(at(5))), ("period", us(at(0)), us(at(3))), ("period", us(at(5)), us(datetime(9999, 1, 1)))]
+
+
 def brute_changes(rows):
     state, out = {}, set()
     for run in sorted({r[0] for r in rows if r[0] is not None}):
