@@ -6,14 +6,16 @@ import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from netloom.session import read_json, write_json
+from netloom.session import exists, materialize, newest, publish, published, remove
 
 FANOUT = 16
-#: Rows of the saved state that one key range holds, about.
-RANGE_ROWS = 50_000
+#: Rows of the saved state that one key range holds, about; a range is one subtree, compared by one task.
+RANGE_ROWS = 20_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -25,17 +27,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def row_digest(key: np.ndarray, *values: np.ndarray) -> np.ndarray:
-    """Digest of each row, in two lanes of 64 bits. Digests of the rows of a leaf add up, in any order."""
-    lanes = []
-    for lane in (1, 2):
-        h = mix(key.astype(np.uint64) * np.uint64(2 * lane + 1) + np.uint64(lane))
-        for v in values:
-            h = mix(h * np.uint64(3) + v.astype(np.uint64))
-        lanes.append(h)
-    return np.stack(lanes, axis=1)
-
-
 class MerkleTree:
     """Digests over ``FANOUT ** depth`` leaves, each for a range of key hashes; level 0 is the root."""
 
@@ -56,171 +47,198 @@ class MerkleTree:
         return at
 
 
-class RangeState:
-    """What was handled so far within one range of keys: values by key, leaf digests."""
+#: Columns of the feed's own tables, besides key and values.
+KIND, RUN, PART, LEAF, D1, D2 = "f_kind", "f_run", "f_part", "f_leaf", "f_d1", "f_d2"
 
-    def __init__(self, key_hash: np.ndarray, depth: int = 3):
-        leaves = FANOUT**depth
-        self.key = key_hash
-        self.leaf = (mix(key_hash.astype(np.uint64)) % np.uint64(leaves)).astype(np.int64)
-        self.there = np.zeros(len(key_hash), bool)
-        self.digest = np.zeros((len(key_hash), 2), np.uint64)
-        self.sums = np.zeros((leaves, 2), np.uint64)
-        self.tree = MerkleTree(self.sums)
 
-    def advance(self, rows: np.ndarray, run: int, *values: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        """Takes one run's listing (indexes of keys; values and which of them are null) and returns the indexes changed.
+def _digests(t: pa.Table) -> np.ndarray:
+    return np.stack([t.column(c).to_numpy() for c in (D1, D2)], axis=1).astype(np.int64).view(np.uint64)
 
-        A null is unlike anything, so its digest is salted with the run. Only rows of differing leaves are compared.
-        """
-        null = np.zeros(len(rows), bool)
-        for _, isnull in values:
-            null |= isnull
-        new = row_digest(self.key[rows], *[np.where(n, 0, v) for v, n in values], np.where(null, run + 1, 0))
-        sums = self.sums.copy()
-        np.add.at(sums, self.leaf[rows], new - self.digest[rows])
-        tree = MerkleTree(sums)
-        open_leaf = np.zeros(len(sums), bool)
-        open_leaf[tree.changed_leaves(self.tree)] = True
-        near = np.flatnonzero(open_leaf[self.leaf[rows]])
-        hit = near[~self.there[rows[near]] | (new[near] != self.digest[rows[near]]).any(axis=1)]
-        self.there[rows], self.digest[rows], self.sums, self.tree = True, new, sums, tree
-        return rows[hit]
-
-
-def _replay(order: str, key: str, values: list[str]):
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        code, names = pd.factorize(pdf[key])
-        first = np.full(len(names), -1)
-        first[code[::-1]] = np.arange(len(pdf))[::-1]
-        state = RangeState(pdf["_hash"].to_numpy()[first])
-        run = pdf[order].to_numpy()
-        value = [(pdf[v].fillna(0).to_numpy().astype(np.int64), pdf[v].isna().to_numpy()) for v in values]
-        out = []
-        cut = np.flatnonzero(np.diff(run)) + 1
-        for a, b in zip([0, *cut], [*cut, len(run)], strict=True):
-            hit = state.advance(code[a:b], int(run[a]), *[(v[a:b], n[a:b]) for v, n in value])
-            out.append(pd.DataFrame({"kind": "change", order: run[a], key: names[hit], "leaf": state.leaf[hit]}))
-        out.append(pd.DataFrame({"kind": ["root"], order: [int(run[-1])], key: [state.tree.levels[0][0].tobytes().hex()], "leaf": [-1]}))
-        return pd.concat(out)
-
-    return replay
-
-
-def replay_runs(df: DataFrame, run: str, key: str, values: list[str], root: str) -> DataFrame:
-    """The changes of each run against all earlier ones, published with the tree digests: ``run``, ``key``.
-
-    ``df`` has one listing per value of ``run`` (long): ``key`` (string) and long ``values``; only rows that were handled
-    with success may be in it. A key is handed on in its first run, whenever a value differs from that in the latest
-    earlier run that lists it, and whenever one of these values is null. Of repeated rows of a run and key the greatest by
-    ``values``, nulls first, counts. Rows with a null run or key are left out; an empty input gives no rows.
-
-    Repeated rows are aggregated before they are shuffled, so that a key has one row a run. Keys are spread by ranges of
-    their hash, at most ``RANGE_ROWS`` rows each on average, and every range replays the runs in order on its own subtree,
-    so that one shuffle of ranges serves all runs. Output and digests are written together and become visible by one
-    rename; a run that fails before it leaves the earlier state, and none of its changes, behind.
-    """
-    spark = df.sparkSession
-    rows = df.filter(F.col(run).isNotNull() & F.col(key).isNotNull()).select(F.col(run).cast("long").alias(run), key, *[F.col(v).cast("long").alias(v) for v in values])
-    n = rows.count()
-    ranges = max(1, -(-n // RANGE_ROWS))
-    rows = rows.groupBy(run, key).agg(F.max(F.struct(*values)).alias("_v")).select(run, key, "_v.*")
-    hashed = rows.withColumn("_hash", F.xxhash64(key)).withColumn("_range", F.pmod(F.shiftright("_hash", 20), F.lit(ranges)).cast("int"))
-    ordered = hashed.repartition("_range").sortWithinPartitions("_range", run, key)
-    found = ordered.groupBy("_range").applyInPandas(_replay(run, key, values), f"kind string, {run} long, {key} string, leaf long")
-    version = f"v-{uuid.uuid4().hex}"
-    found.write.partitionBy("kind").parquet(f"{root}/{version}")
-    write_json(f"{root}/CURRENT.json", {"version": version, "rows": n})
-    return spark.read.schema(f"{run} long, {key} string, leaf long, kind string").parquet(f"{root}/{version}").filter("kind = 'change'").select(run, key)
+
+def _leaf_sums(t: pa.Table, leaves: int) -> np.ndarray:
+    """Digests of all leaves: sums of their rows' digests, in any order."""
+    sums = np.zeros((leaves, 2), np.uint64)
+    np.add.at(sums, t.column(LEAF).to_numpy(), _digests(t))
+    return sums
+
+
+def _rows(schema: pa.Schema, n: int, **columns) -> pa.Table:
+    """Rows with the given columns; one value stands for all rows, and columns not given are null."""
+    cols = [columns.get(f.name) for f in schema]
+    return pa.table([pa.nulls(n, f.type) if c is None else pa.array([c] * n, f.type) if isinstance(c, (str, int)) else pa.chunked_array(c.chunks if isinstance(c, pa.ChunkedArray) else [pa.array(c, f.type)], f.type) for f, c in zip(schema, cols, strict=True)], schema)
+
+
+def _root(leaves: np.ndarray) -> dict:
+    d1, d2 = MerkleTree(leaves).levels[0][0].view(np.int64).tolist()
+    return {D1: d1, D2: d2}
+
+
+def _rooted(leaves: int):
+    """The listed rows of a range, and one row with the root of the Merkle tree over them."""
+
+    def run(t: pa.Table) -> pa.Table:
+        return pa.concat_tables([t, _rows(t.schema, 1, **{KIND: "root", PART: t.column(PART)[0].as_py()}, **_root(_leaf_sums(t, leaves)))])
+
+    return run
+
+
+def _compared(key: str, leaves: int, run: int):
+    """Compares what is listed of a range with what is saved of it: changes, new state, leaf digests, root and number of rows."""
+
+    def compare(listed: pa.Table, saved: pa.Table) -> pa.Table:
+        kind = saved.column(KIND).to_numpy(zero_copy_only=False)
+        nodes, state = saved.filter(pa.array(kind == "leaf")), saved.filter(pa.array(kind == "state"))
+        before = np.zeros((leaves, 2), np.uint64)
+        before[nodes.column(LEAF).to_numpy()] = _digests(nodes)
+        now, leaf, new = _leaf_sums(listed, leaves), listed.column(LEAF).to_numpy(), _digests(listed)
+        differs = np.zeros(leaves, bool)
+        differs[MerkleTree(now).changed_leaves(MerkleTree(before))] = True
+        near = np.flatnonzero(differs[leaf])  # rows of equal leaves are as they were
+        at = pd.Index(state.column(key).to_pandas()).get_indexer(listed.column(key).take(pa.array(near)).to_pandas())
+        other = at < 0
+        other[~other] = (new[near[~other]] != _digests(state)[at[~other]]).any(axis=1)
+        kept = np.ones(len(state), bool)
+        kept[at[at >= 0]] = False
+        own, fresh = state.filter(pa.array(kept)), listed.take(pa.array(near))
+        after = before.copy()
+        after[leaf] = now[leaf]
+        full = np.flatnonzero(after.any(axis=1))
+        all_ = {RUN: run, PART: listed.column(PART)[0].as_py()}
+        rows, n = {c: pa.chunked_array([*own.column(c).chunks, *fresh.column(c).chunks], listed.schema.field(c).type) for c in (key, LEAF, D1, D2)}, len(own) + len(fresh)
+        hit = listed.take(pa.array(near[other]))
+        return pa.concat_tables([
+            _rows(listed.schema, len(hit), **{c: hit.column(c) for c in listed.column_names} | {KIND: "change", RUN: run}),
+            _rows(listed.schema, n, **{KIND: "state"} | all_ | rows),
+            _rows(listed.schema, len(full), **{KIND: "leaf", LEAF: full, D1: after[full, 0].view(np.int64), D2: after[full, 1].view(np.int64)} | all_),
+            _rows(listed.schema, 1, **{KIND: "root", LEAF: n} | all_ | _root(after)),
+        ])
+
+    return compare
 
 
 class ChangeFeed:
     """Run after run over a growing table: each finds what is new or changed and publishes it with the new state.
 
-    The state is a table of (key, values, leaf) in ``parts`` directories by key range and the Merkle digests of all leaves.
-    Inner nodes are computed natively level by level, only the children of differing nodes are joined, and only directories
-    with differing leaves are read and rewritten; the others are taken over by name. Nothing is visible before that file's
-    rename, so a run that dies is simply run again: no record is skipped and none is handed on twice.
+    Keys are spread over ranges of their hash, each a subtree of ``16 ** depth`` leaves. The saved state of a range has a
+    digest for each key, and the digest of each leaf as it was last listed. A run computes the root of every listed range;
+    ranges with the saved root are taken over by name and not read. In the others the trees are descended only where
+    digests differ, and only rows of differing leaves are looked up in the state. Changes, state, digests and roots are
+    written to a folder of the run, and become visible together by one small file of a new name, so that a run that dies is
+    simply run again: no record is skipped and none is handed on twice. There may be one writer at a time.
+
+    The number of ranges grows with the state, so that each holds about ``range_rows`` keys; the driver holds one digest a
+    range. ``key`` may be of any type but a nested one.
     """
 
-    def __init__(self, spark: SparkSession, root: str, key: str, values: list[str], depth: int = 3, parts: int = 16):
-        self.spark, self.root, self.key, self.values, self.depth, self.parts = spark, root.rstrip("/"), key, list(values), depth, parts
+    def __init__(self, spark: SparkSession, root: str, key: str, values: list[str], depth: int = 3, range_rows: int = RANGE_ROWS):
+        self.spark, self.root, self.key, self.values, self.depth, self.range_rows = spark, root.rstrip("/"), key, list(values), depth, range_rows
         self.leaves = FANOUT**depth
 
     def current(self) -> dict | None:
-        return read_json(f"{self.root}/CURRENT.json")
+        return newest(f"{self.root}/commits")
+
+    def _placed(self, df: DataFrame, ranges: int) -> DataFrame:
+        h = F.xxhash64(self.key)
+        return df.withColumn(PART, F.pmod(F.shiftright(h, 20), F.lit(ranges)).cast("int")).withColumn(LEAF, F.pmod(h, F.lit(self.leaves)))
 
-    def _stated(self, df: DataFrame, salt: int) -> DataFrame:
+    def _listing(self, listing: DataFrame, ranges: int, salt: int) -> DataFrame:
+        """One row a key with its place and digest; a null is unlike anything, so its digest is salted."""
+        rows = listing.filter(F.col(self.key).isNotNull()).groupBy(self.key).agg(F.max(F.struct(*self.values)).alias("f_v")).select(self.key, "f_v.*")
         null = F.lit(False)
         for v in self.values:
             null = null | F.col(v).isNull()
-        leaf = F.pmod(F.xxhash64(self.key), F.lit(self.leaves))
-        return df.select(self.key, *self.values).withColumn("leaf", leaf).withColumn("part", F.col("leaf") % self.parts).withColumn("_d", F.xxhash64(self.key, *self.values, F.when(null, salt).otherwise(0)))
-
-    def _tree(self, stated: DataFrame) -> DataFrame:
-        """Digests of all levels; sums of hashes as decimals, so that no order matters and none overflows."""
-        level = stated.groupBy(F.col("leaf").alias("node")).agg(F.sum(F.col("_d").cast("decimal(38,0)")).alias("digest")).withColumn("level", F.lit(self.depth))
-        out = level
-        for d in range(self.depth - 1, -1, -1):
-            level = level.groupBy(F.floor(F.col("node") / FANOUT).alias("node")).agg(F.sum(F.xxhash64("node", "digest").cast("decimal(38,0)")).alias("digest")).withColumn("level", F.lit(d))
-            out = out.unionByName(level)
-        return out
-
-    def run(self, listing: DataFrame) -> DataFrame:
+        salted = F.when(null, F.lit(salt)).otherwise(F.lit(0)).cast("long")
+        rows = self._placed(rows, ranges).withColumn(D1, F.xxhash64(F.lit(1), self.key, *self.values, salted)).withColumn(D2, F.xxhash64(F.lit(2), self.key, *self.values, salted))
+        return rows.select(F.lit("row").alias(KIND), F.lit(None).cast("long").alias(RUN), PART, LEAF, D1, D2, self.key, *self.values)
+
+    def run(self, listing: DataFrame, label: int | None = None) -> DataFrame:
         """Records of ``listing`` that are new or changed since the last published run; published with the new state.
 
-        Of repeated keys the greatest by values counts; rows with a null key are left out; records with a null value are
-        always handed on; records that the listing lacks stay as they were. An empty listing publishes no changes.
+        Of repeated keys the greatest by values counts, nulls first; rows with a null key are left out; a record is always
+        handed on when one of its values is null or was; records that the listing lacks stay as they were. An empty
+        listing publishes no changes. Other columns are ignored. ``label`` names the run, by default its number.
         """
-        now = self.current()
-        number = (now["run"] if now else 0) + 1
+        now = self.current() or {"run": 0, "ranges": 0, "rows": {}, "roots": {}, "state": {}}
+        number = now["run"] + 1
+        label = number if label is None else label
         version = f"run-{number:08d}-{uuid.uuid4().hex}"
-        new = listing.filter(F.col(self.key).isNotNull()).groupBy(self.key).agg(F.max(F.struct(*self.values)).alias("_v")).select(self.key, "_v.*")
-        new = self._stated(new, number)
-        new.write.partitionBy("part").parquet(f"{self.root}/{version}/listing")
-        new = self.spark.read.schema(new.schema).parquet(f"{self.root}/{version}/listing")
-        old = self._saved(now, range(self.parts))
-        merged = old.join(new.select(self.key), self.key, "left_anti").unionByName(new) if old is not None else new
-        tree = self._tree(merged)
-        tree.write.parquet(f"{self.root}/{version}/tree")
-        tree = self.spark.read.parquet(f"{self.root}/{version}/tree")
-        leaves = self._descend(tree, self.spark.read.parquet(f"{self.root}/{now['tree']}")) if now else tree.filter(F.col("level") == self.depth).select("node")
-        touched = sorted(r.part for r in leaves.select((F.col("node") % self.parts).alias("part")).distinct().collect())
-        near = new.filter(F.col("part").isin(touched)).join(leaves.withColumnRenamed("node", "leaf"), "leaf", "left_semi")
-        had = self._saved(now, touched)
-        if had is not None:
-            near = near.join(had.select(self.key, F.col("_d").alias("_had")), self.key, "left").filter(F.col("_had").isNull() | (F.col("_had") != F.col("_d")))
-        changes = near.select(self.key, *self.values)
-        changes.write.parquet(f"{self.root}/{version}/changes")
-        state = dict(now["state"]) if now else {}
+        if not now["ranges"]:
+            now["ranges"] = max(1, -(-listing.filter(F.col(self.key).isNotNull()).count() // self.range_rows))
+        elif sum(now["rows"].values()) > 2 * now["ranges"] * self.range_rows:
+            self._split(now, f"{version}-split", number, self._listing(listing, 1, number).schema)
+        placed = self._listing(listing, now["ranges"], number)
+        schema = placed.schema
+        placed.groupBy(PART).applyInArrow(_rooted(self.leaves), schema).write.partitionBy(KIND).parquet(f"{self.root}/{version}/listing")
+        roots = {str(r[PART]): [r[D1], r[D2]] for r in self._read(schema, "root", [f"{version}/listing"]).collect()}
+        touched = sorted(int(p) for p, r in roots.items() if now["roots"].get(p) != r)
         if touched:
-            keep = new.filter(F.col("part").isin(touched))
-            if had is not None:
-                keep = had.join(keep.select(self.key), self.key, "left_anti").unionByName(keep)
-            keep.write.partitionBy("part").parquet(f"{self.root}/{version}/state")
-            state |= {str(p): f"{version}/state" for p in touched}
-        write_json(f"{self.root}/CURRENT.json", {"run": number, "tree": f"{version}/tree", "changes": f"{version}/changes", "state": state})
-        return self.spark.read.schema(changes.schema).parquet(f"{self.root}/{version}/changes")
-
-    def _saved(self, now: dict | None, parts) -> DataFrame | None:
-        if not now or not now["state"]:
-            return None
-        out = None
-        for at in sorted(set(now["state"].values())):
-            own = [p for p in parts if now["state"].get(str(p)) == at]
-            if own:
-                one = self.spark.read.parquet(f"{self.root}/{at}").filter(F.col("part").isin(own))
-                out = one if out is None else out.unionByName(one)
-        return out
-
-    def _descend(self, tree: DataFrame, saved: DataFrame) -> DataFrame:
-        at = None
-        for d in range(self.depth + 1):
-            a, b = (t.filter(F.col("level") == d).select("node", "digest") for t in (tree, saved))
-            if at is not None:
-                a, b = (t.join(at, F.floor(t["node"] / FANOUT) == at["parent"], "left_semi") for t in (a, b))
-            both = a.withColumnRenamed("digest", "mine").join(b.withColumnRenamed("digest", "theirs"), "node", "full_outer")
-            differ = both.filter(~F.col("mine").eqNullSafe(F.col("theirs"))).select("node")
-            at = differ.withColumnRenamed("node", "parent")
-        return at.withColumnRenamed("parent", "node")
+            near = self._read(schema, "row", [f"{version}/listing"])
+            if len(touched) < len(roots):
+                near = near.filter(F.col(PART).isin(touched))
+            out = near.groupBy(PART).cogroup(self._saved(now, touched, schema).groupBy(PART)).applyInArrow(_compared(self.key, self.leaves, number), schema)
+            out.write.partitionBy(KIND).parquet(f"{self.root}/{version}/out")
+            for r in self._read(schema, "root", [f"{version}/out"]).collect():
+                p = str(r[PART])
+                now["roots"][p], now["rows"][p], now["state"][p] = [r[D1], r[D2]], r[LEAF], [number, f"{version}/out"]
+        publish(f"{self.root}/commits", number, now | {"run": number, "label": label, "changes": f"{version}/out" if touched else None})
+        remove(f"{self.root}/{version}/listing")
+        return self.changes(schema, number)
+
+    def changes(self, schema, number: int | None = None) -> DataFrame:
+        """``f_run`` (label), key and values of what one run or all runs handed on."""
+        runs = [c for c in published(f"{self.root}/commits") if c["changes"] and number in (None, c["run"])]
+        if not runs:
+            return self.spark.createDataFrame([], schema).select(RUN, self.key, *self.values)
+        got = self._read(schema, "change", [c["changes"] for c in runs])
+        labels = self.spark.createDataFrame([(c["run"], c["label"]) for c in runs], f"{RUN} long, f_label long")  # one row a run
+        return got.join(F.broadcast(labels), RUN).select(F.col("f_label").alias(RUN), self.key, *self.values)
+
+    def _read(self, schema, kind: str, folders: list[str]) -> DataFrame:
+        """Rows of a kind in folders of this feed; a folder without such rows has none written."""
+        at = [f"{self.root}/{f}/{KIND}={kind}" for f in folders]
+        at = [f for f in at if exists(f)]
+        if not at:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(StructType([f for f in schema if f.name != KIND])).parquet(*at).withColumn(KIND, F.lit(kind)).select(*schema.names)
+
+    def _saved(self, now: dict, ranges: list[int], schema) -> DataFrame:
+        """State rows and leaf digests of some ranges, from the folders that hold their latest version only."""
+        where = [(p, *now["state"][str(p)]) for p in ranges if str(p) in now["state"]]
+        if not where:
+            return self.spark.createDataFrame([], schema)
+        folders = sorted({v for _, _, v in where})
+        rows = self._read(schema, "state", folders).unionByName(self._read(schema, "leaf", folders)).filter(F.col(PART).isin(ranges))
+        if len(folders) == 1:
+            return rows
+        live = self.spark.createDataFrame([(p, r) for p, r, _ in where], f"{PART} int, {RUN} long")  # one row a range
+        return rows.join(F.broadcast(live), [PART, RUN], "left_semi").select(*schema.names)
+
+    def _split(self, now: dict, version: str, number: int, schema) -> None:
+        """Spreads the state over more ranges. Their leaf digests are not known until they are listed again."""
+        rows = self._saved(now, [int(p) for p in now["state"]], schema).filter(F.col(KIND) == "state")
+        ranges = -(-sum(now["rows"].values()) // self.range_rows)
+        self._placed(rows, ranges).withColumn(RUN, F.lit(-number).cast("long")).select(*schema.names).repartition(PART).sortWithinPartitions(PART).write.partitionBy(KIND).parquet(f"{self.root}/{version}")
+        got = self._read(schema, "state", [version]).groupBy(PART).count().collect()
+        now |= {"ranges": ranges, "roots": {}, "rows": {str(r[PART]): r["count"] for r in got}, "state": {str(r[PART]): [-number, version] for r in got}}
+
+
+def replay_runs(df: DataFrame, run: str, key: str, values: list[str], root: str, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """The changes of each run of ``df`` against all earlier ones, by a ``ChangeFeed`` at ``root``: ``run``, ``key``.
+
+    ``df`` has one listing per value of ``run`` (long): ``key`` and long ``values``; only rows that were handled with
+    success may be in it. A key is handed on in its first run, whenever a value differs from that in the latest earlier run
+    that lists it, and whenever one of these values is null. Of repeated rows of a run and key the greatest by ``values``,
+    nulls first, counts. Rows with a null run or key are left out; an empty input gives no rows.
+
+    Rows are put into one folder a run first, so that each run reads its own rows only. Runs are fed in order; those that
+    ``root`` has already published are passed over, so that a job that died goes on where it stopped.
+    """
+    rows = df.filter(F.col(run).isNotNull() & F.col(key).isNotNull()).select(F.col(run).cast("long").alias(run), key, *[F.col(v).cast("long").alias(v) for v in values])
+    by_run = materialize(rows, "runs", run)
+    feed = ChangeFeed(df.sparkSession, root, key, values, range_rows=range_rows)
+    done = feed.current()
+    for r in sorted(x[0] for x in by_run.select(run).distinct().collect()):  # as many as there are runs
+        if done is None or r > done["label"]:
+            feed.run(by_run.filter(F.col(run) == r), r)
+    schema = feed._listing(by_run, 1, 0).schema
+    return feed.changes(schema).select(F.col(RUN).alias(run), key)

@@ -14,7 +14,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.session import file_system, materialize, read_json, write_json
+from netloom.session import file_system, materialize, newest, publish
 
 #: Records of an output file, about: some 100 to 150 MB before compression.
 TARGET_RECORDS = 1_000_000
@@ -44,7 +44,7 @@ class Compacted:
 
     @property
     def commit(self) -> dict:
-        return read_json(f"{self.root}/_COMMIT.json")
+        return newest(f"{self.root}/commits")
 
     def manifest(self) -> DataFrame:
         """One row per data file and capture in it: file, capture, n_records, n_keyed, n_repeats."""
@@ -130,7 +130,7 @@ def compact(df: DataFrame, capture: Column, number: str, root: str, target_recor
     its own fixed output groups by a least-loaded heap. A capture beyond the target is cut into pieces by record number,
     so that repeats stay together and no group holds much more than the target. Each group is one partition, which
     streams through a pyarrow writer. Files carry the attempt in their name, the manifest names the good ones, and a
-    rename of the commit file publishes manifest and data together; until then readers see the state before.
+    commit file of a new name publishes manifest and data together; until then readers see the state before.
     """
     spark = df.sparkSession
     names = df.columns
@@ -165,7 +165,9 @@ def compact(df: DataFrame, capture: Column, number: str, root: str, target_recor
     done = spark.read.parquet(f"{root}/{manifest}").agg(F.coalesce(F.sum(F.col("n_records") + F.col("n_repeats")), F.lit(0)).alias("n")).first().n
     if done != size.records:
         raise RuntimeError(f"{size.records} records were read, {done} are in the manifest; nothing was published")
-    write_json(f"{root}/_COMMIT.json", {"data": data, "manifest": manifest, "records": size.records})
+    before = newest(f"{root}/commits")
+    number = before["number"] + 1 if before else 1
+    publish(f"{root}/commits", number, {"number": number, "data": data, "manifest": manifest, "records": size.records})
     return Compacted(spark, root)
 
 

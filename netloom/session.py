@@ -78,22 +78,46 @@ def file_system(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
-def write_json(uri: str, what: dict) -> None:
-    """Write a small file so that readers see the old one or the new one whole: beside it, then moved over it."""
-    files, path = file_system(uri)
-    other = f"{path}.{uuid.uuid4().hex}"
+def publish(folder: str, number: int, what: dict) -> None:
+    """Makes a small file ``number`` of a folder visible, whole or not at all: written beside it, then moved to its new name.
+
+    Nothing is overwritten, so a file system whose moves refuse an existing target does as well as an object store.
+    """
+    files, path = file_system(folder)
+    files.create_dir(path, recursive=True)
+    other = f"{path}/part-{uuid.uuid4().hex}"
     with files.open_output_stream(other) as f:
         f.write(json.dumps(what).encode())
-    files.move(other, path)
+    files.move(other, f"{path}/{number:012d}.json")
+
+
+def _numbered(folder: str) -> tuple[fs.FileSystem, list[str]]:
+    files, path = file_system(folder)
+    found = files.get_file_info(fs.FileSelector(path, allow_not_found=True))
+    return files, sorted(f.path for f in found if f.base_name.endswith(".json"))
+
+
+def published(folder: str) -> list[dict]:
+    """What ``publish`` made visible, in order of number."""
+    files, paths = _numbered(folder)
+    return [json.loads(files.open_input_stream(p).read()) for p in paths]
+
+
+def newest(folder: str) -> dict | None:
+    """What ``publish`` made visible under the greatest number; None if nothing yet."""
+    files, paths = _numbered(folder)
+    return json.loads(files.open_input_stream(paths[-1]).read()) if paths else None
+
+
+def exists(uri: str) -> bool:
+    files, path = file_system(uri)
+    return files.get_file_info(path).type != fs.FileType.NotFound
 
 
-def read_json(uri: str) -> dict | None:
-    """What ``write_json`` wrote; None if nothing did yet."""
+def remove(uri: str) -> None:
+    """Deletes a folder of intermediate data."""
     files, path = file_system(uri)
-    if files.get_file_info(path).type == fs.FileType.NotFound:
-        return None
-    with files.open_input_stream(path) as f:
-        return json.loads(f.read())
+    files.delete_dir(path)
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

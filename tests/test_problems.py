@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from netloom.functions.addresses import canonical_ip
-from netloom.operators.changefeed import ChangeFeed, MerkleTree, RangeState, replay_runs
+from netloom.operators.changefeed import ChangeFeed, MerkleTree, mix, replay_runs
 from netloom.operators.compaction import compact, disagreeing_captures, longest_first
 from netloom.operators.intervals import periods_and_gaps
 from netloom.operators.keyed import Measure, aggregate_by_key, heavy_keys
@@ -220,29 +220,74 @@ def brute_changes(rows):
 @pytest.mark.parametrize("seed", range(3))
 def test_replay(spark, seed):
     rng = random.Random(seed)
-    rows = [(rng.choice([1, 2, 3, 5, 8]), f"k{rng.randint(0, 60)}", rng.choice([1, 2, None]), rng.choice([7, 8, 8, 8])) for _ in range(600)]
+    rows = [(rng.choice([1, 2, 3, 5]), f"k{rng.randint(0, 60)}", rng.choice([1, 2, None]), rng.choice([7, 8, 8, 8])) for _ in range(500)]
     rows += [(None, "k1", 1, 1), (2, None, 1, 1)]
     df = spark.createDataFrame(rows, "run long, key string, a long, b long")
-    got = {(r.run, r.key) for r in replay_runs(df, "run", "key", ["a", "b"], scratch(spark, "t")).collect()}
-    assert got == brute_changes(rows)
-    assert replay_runs(df.limit(0), "run", "key", ["a", "b"], scratch(spark, "t")).collect() == []
+    at = scratch(spark, "t")
+    got = [(r.run, r.key) for r in replay_runs(df, "run", "key", ["a", "b"], at, range_rows=[1000, 20, 7][seed]).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_changes(rows)
+    # What is published is not done again; a later run goes on from there.
+    more = rows + [(9, "k1", 1, 7), (9, "fresh", 1, 7)]
+    got = {(r.run, r.key) for r in replay_runs(spark.createDataFrame(more, "run long, key string, a long, b long"), "run", "key", ["a", "b"], at).collect()}
+    assert got == brute_changes(more)
+
+
+def test_replay_of_nothing(spark):
+    df = spark.createDataFrame([], "run long, key string, a long, b long")
+    assert replay_runs(df, "run", "key", ["a", "b"], scratch(spark, "t")).collect() == []
 
 
 def test_merkle_descends_only_where_needed():
-    keys = np.arange(2000).astype(np.int64) * 7919
-    a, b = RangeState(keys), RangeState(keys)
-    rows = np.arange(2000)
-    value = np.zeros(2000, np.int64)
-    a.advance(rows, 1, (value, value > 0))
-    other = value.copy()
-    other[[5, 900]] = 1
-    b.advance(rows, 1, (other, value > 0))
-    assert sorted(b.tree.changed_leaves(a.tree)) == sorted({a.leaf[5], a.leaf[900]})
-    assert len(MerkleTree(a.sums).changed_leaves(a.tree)) == 0
+    a = mix(np.arange(2 * 16**3, dtype=np.uint64)).reshape(-1, 2)
+    b = a.copy()
+    b[[5, 900]] += np.uint64(1)
+    assert MerkleTree(b).changed_leaves(MerkleTree(a)).tolist() == [5, 900]
+    assert len(MerkleTree(a.copy()).changed_leaves(MerkleTree(a))) == 0
+
+
+def test_changes_come_from_the_descent(monkeypatch):
+    import pyarrow as pa
+
+    from netloom.operators import changefeed as c
+
+    schema = pa.schema([(c.KIND, pa.string()), (c.RUN, pa.int64()), (c.PART, pa.int32()), (c.LEAF, pa.int64()), (c.D1, pa.int64()), (c.D2, pa.int64()), ("k", pa.string()), ("v", pa.int64())])
+
+    def table(kind, rows):
+        return pa.Table.from_pylist([dict(zip(schema.names, (kind, 1, 0, leaf, d, d, k, d), strict=True)) for leaf, d, k in rows], schema)
+
+    saved = pa.concat_tables([table("state", [(0, 5, "a"), (1, 6, "b")]), table("leaf", [(0, 5, None), (1, 6, None)])])
+    listed = table("row", [(0, 5, "a"), (1, 7, "b")])
+
+    def changed():
+        return [r["k"] for r in c._compared("k", 16, 2)(listed, saved).to_pylist() if r[c.KIND] == "change"]
+
+    assert changed() == ["b"]
+    monkeypatch.setattr(MerkleTree, "changed_leaves", lambda self, other: np.array([], np.int64))
+    assert changed() == []
+
+
+def test_change_feed_reads_touched_ranges_only(spark, monkeypatch):
+    feed = ChangeFeed(spark, scratch(spark, "feed"), "k", ["v"], depth=1, range_rows=10)
+    rows = [(f"k{i}", i) for i in range(200)]
+    feed.run(spark.createDataFrame(rows, "k string, v long"))
+    before, read, plain = feed.current(), [], ChangeFeed._saved
+    assert before["ranges"] == 20
+    monkeypatch.setattr(ChangeFeed, "_saved", lambda self, now, ranges, schema: read.append(ranges) or plain(self, now, ranges, schema))
+    got = feed.run(spark.createDataFrame([(k, v + (k == "k7")) for k, v in rows], "k string, v long")).collect()
+    after = feed.current()
+    assert [tuple(r) for r in got] == [(2, "k7", 8)] and len(read) == 1 and len(read[0]) == 1
+    assert [p for p in after["state"] if after["state"][p] != before["state"][p]] == [str(read[0][0])]
+    # The next change in another range reads the state of two versions, each where it is the latest.
+    got = feed.run(spark.createDataFrame([(k, v + (k in ("k7", "k8", "k9"))) for k, v in rows] + [(f"n{i}", i) for i in range(300)], "k string, v long"))
+    assert sorted(r.k for r in got.collect()) == sorted(["k8", "k9", *(f"n{i}" for i in range(300))])
+    # A state that has outgrown its ranges is spread over more, and nothing is handed on for that.
+    got = feed.run(spark.createDataFrame([(f"n{i}", i + (i == 5)) for i in range(300)], "k string, v long"))
+    assert [r.k for r in got.collect()] == ["n5"] and feed.current()["ranges"] == 50
+    assert sum(feed.current()["rows"].values()) == 500
 
 
 def test_change_feed(spark):
-    feed = ChangeFeed(spark, scratch(spark, "feed"), "k", ["v", "w"], depth=2, parts=4)
+    feed = ChangeFeed(spark, scratch(spark, "feed"), "k", ["v", "w"], depth=2, range_rows=30)
     schema = "k string, v long, w string"
 
     def run(rows):
@@ -268,19 +313,19 @@ def test_replay_holds_one_row_of_a_run_and_key(spark, tmp_path, monkeypatch):
     from netloom.operators import changefeed
 
     seen = str(tmp_path / "seen")
-    plain = changefeed._replay
+    plain = changefeed._rooted
 
     def watched(*args):
-        replay = plain(*args)
+        rooted = plain(*args)
 
-        def run(pdf):
+        def run(t):
             with open(seen, "a") as f:
-                f.write(f"{len(pdf)}\n")
-            return replay(pdf)
+                f.write(f"{len(t)}\n")
+            return rooted(t)
 
         return run
 
-    monkeypatch.setattr(changefeed, "_replay", watched)
+    monkeypatch.setattr(changefeed, "_rooted", watched)
     rows = [(1, "hot", 5, 1)] * 3000 + [(1, "hot", None, 9), (1, "cold", 1, 1), (2, "hot", 5, 1), (2, "cold", 1, 2)]
     df = spark.createDataFrame(rows, "n long, k string, size long, t long")
     got = changefeed.replay_runs(df, "n", "k", ["size", "t"], str(tmp_path / "state"))
