@@ -42,7 +42,7 @@ def repair(text: str) -> str:
 
 #: Cue numbers and cue heads, also damaged ones: only digits, signs read as digits, and an arrow.
 _HEAD = re.compile(r"[\dOolI]{1,6}$|[\dOolI;.,\s]+:[\dOolI:;.,\s]{4,16}(?:-*>|[-–—]+)[\dOolI;.,\s]+:|[^>]{0,24}\d[^>]{0,24}--? ?>")
-_MARKS = re.compile(r"<[^<>\n]{0,80}>|\{[^{}\n]{0,80}\}|&(?:#\d+|\w{2,8});|\[[^\[\]]{0,160}\]|\([^()]{0,160}\)|(?<!\w)\*[^*]{1,160}\*")
+_MARKS = re.compile(r"<[^<>\n]*>|\{[^{}\n]*\}|&(?:#\d+|\w{2,8});|\[[^\[\]]*\]|\([^()]*\)|(?<!\w)\*[^*]+\*")
 _MARKED = re.compile(r"[<{&\[(*]").search
 _LABEL = regex.compile(r"[\s\-–—♪#?]*(?:[\p{Lu}\d][\w.'’]*[ ]){0,2}[\p{Lu}\d][\w.'’]*[ ]?:(?=\s)")
 _HINT = re.compile(r"\w[.,]\w|@|//|(?:[BbSs8][Yy]|[Vv][IiLl1][DdOo]|[Uu][Ss][EeCc][Rr])").search
@@ -92,11 +92,11 @@ def _parts(cue: str) -> list[str]:
 
 
 def _without_adverts(cue: str) -> str:
-    """A cue without the sentences that are adverts or credits; a sentence of more than 160 signs or 18 words is none."""
+    """A cue without the sentences that are adverts or credits."""
     if not _sign(cue):
         return cue
     parts = _parts(cue)
-    gone = [len(p) <= 160 and len(p.split()) <= 18 and _sign(p) for p in parts]
+    gone = [_sign(p) for p in parts]
     for k in range(len(parts) - 1):  # "Corrections?" before an address
         words, after = parts[k].split(), parts[k + 1].split()
         if len(words) == 1 and words[0].endswith("?") and gone[k + 1] and after and _site(after[0]):

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 
-from netloom.llm.dialogue import dialogue, fold, skeleton
+from netloom.llm.dialogue import dialogue, skeleton
 
 #: Words of an item that must stand in a document, and how many of them, one in so many, may be wrong.
 LEAST_WORDS, ONE_IN = 20, 10
@@ -28,15 +27,18 @@ _BASE = np.uint64(0x100000001B3)
 KEPT_WORDS = 2_000_000
 
 
-def greedy_tiles(a: list[int], b: list[int], least: int = 2) -> list[tuple[int, int, int]]:
+def greedy_tiles(a: list[int], b: list[int], least: int = 2, band: tuple[int, int] | None = None) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (place in a, place in b, length) of matches that overlap neither in a nor in b.
 
-    The longest matches of unmarked words are marked first; matches of a length are found by a running Karp-Rabin hash,
-    and the search length falls until ``least``.
+    The longest matches of unmarked words are marked first, and of equally long ones those nearest the middle of the band;
+    matches of a length are found by a running Karp-Rabin hash, and the search length falls until ``least``. With ``band``,
+    only matches whose places differ by so much (``place in a - place in b``) count.
     """
     free_a, free_b = [True] * len(a), [True] * len(b)
     tiles: list[tuple[int, int, int]] = []
     mask = (1 << 61) - 1
+    low, high = band or (-len(b), len(a))
+    middle = low + high if band else 0
 
     def windows(x: list[int], free: list[bool], n: int) -> Iterator[tuple[int, int]]:
         power, h, run = pow(1_000_003, n - 1, mask), 0, 0
@@ -52,7 +54,7 @@ def greedy_tiles(a: list[int], b: list[int], least: int = 2) -> list[tuple[int,
             if run == n:
                 yield i - n + 1, h
 
-    n = min(len(a), len(b), 24)
+    n = max(least, min(len(a), len(b)) // 2)
     while n >= least:
         places = defaultdict(list)
         for i, h in windows(a, free_a, n):
@@ -60,67 +62,58 @@ def greedy_tiles(a: list[int], b: list[int], least: int = 2) -> list[tuple[int,
         found = []
         for j, h in windows(b, free_b, n):
             for i in places.get(h, ()):
-                if a[i : i + n] == b[j : j + n]:
+                if low <= i - j <= high and a[i : i + n] == b[j : j + n]:
                     k = n
                     while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k] and a[i + k] and free_a[i + k] and free_b[j + k]:
                         k += 1
-                    found.append((k, i, j))
-        found.sort(reverse=True)
-        for k, i, j in found:
-            if all(free_a[i : i + k]) and all(free_b[j : j + k]):
-                free_a[i : i + k] = free_b[j : j + k] = [False] * k
-                tiles.append((i, j, k))
-        n = n - 1 if n <= 8 else max(8, n // 2)
+                    found.append((-k, abs(2 * (i - j) - middle), i, j))
+        marked = False
+        for k, _, i, j in sorted(found):
+            if all(free_a[i : i - k]) and all(free_b[j : j - k]):
+                free_a[i : i - k] = free_b[j : j - k] = [False] * -k
+                tiles.append((i, j, -k))
+                marked = True
+        if not marked:  # what a marked tile cut off may still be as long
+            n = n - 1 if n <= 4 else max(4, n // 2)
     return sorted(tiles)
 
 
-def ordered_coverage(tiles: list[tuple[int, int, int]], window: int) -> int:
-    """Most words that tiles in the same order on both sides cover within ``window`` words of the item (a chain)."""
-    best = 0
-    for s, (i0, j0, _) in enumerate(tiles):
-        chain: list[tuple[int, int, int]] = []  # (end in a, end in b, words)
-        for i, j, k in tiles[s:]:
-            k = min(k, i0 + window - i)
-            if k <= 0:
-                break
-            if j < j0 or j > j0 + 2 * window:
-                continue
-            got = k + max((w for ea, eb, w in chain if ea <= i and eb <= j), default=0)
-            chain.append((i + k, j + k, got))
-            best = max(best, got)
-    return best
-
+def covers_passage(tiles: list[tuple[int, int, int]], items: int) -> bool:
+    """Whether tiles in the same order on both sides cover a passage: at least LEAST_WORDS consecutive words of the item's
+    ``items``, of which at most one in ONE_IN is not covered or parted from its neighbour by added words.
 
-def holds_window(a: list[int], b: list[int]) -> bool:
-    """Whether some window of at least LEAST_WORDS words of ``a`` stands in ``b`` with at most one word in ONE_IN wrong.
-
-    Bit-parallel approximate search for each window: bit i of ``rows[e]`` is set when the first i words end here with at
-    most e words changed, left out or added. Windows of 20, 30, 40 ... words suffice, as an error more needs ten words more.
-    A window of which more words than that stand nowhere in ``b`` is passed over.
+    Between two tiles of a chain as many words are wrong as the longer side holds. For each tile the chain that ends in it
+    with the most covered words, less the wrong ones, is followed back; then every stretch between two covered words of the
+    chain is measured, words beyond it being wrong ones.
     """
-    there = set(b) - {0}
-    missing = [0, *accumulate(w not in there for w in a)]
-    for size in range(LEAST_WORDS, len(a) + 1, ONE_IN):
-        errors = size // ONE_IN
-        for at in range(len(a) - size + 1):
-            if missing[at + size] - missing[at] > errors:
-                continue
-            where: dict[int, int] = defaultdict(int)
-            for i, w in enumerate(a[at : at + size]):
-                if w:
-                    where[w] |= 1 << i
-            goal = 1 << (size - 1)
-            rows = [(1 << e) - 1 for e in range(errors + 1)]
-            for w in b:
-                hit = where.get(w, 0) if w else 0
-                before = rows[0]
-                rows[0] = ((before << 1) | 1) & hit
-                for e in range(1, errors + 1):
-                    old = rows[e]
-                    rows[e] = (((old << 1) | 1) & hit) | before | (before << 1) | (rows[e - 1] << 1) | 1
-                    before = old
-                if rows[errors] & goal:
-                    return True
+    best: list[tuple[int, int]] = []  # words less errors, tile before
+    for t, (i, j, k) in enumerate(tiles):
+        got = (k, -1)
+        for p, (i0, j0, k0) in enumerate(tiles[:t]):
+            apart = i - i0 - k0, j - j0 - k0
+            if min(apart) >= 0:
+                got = max(got, (best[p][0] + k - max(apart), p))
+        best.append(got)
+    inner = {p for _, p in best}
+    for t in range(len(tiles)):
+        if t in inner:  # a longer chain holds this one
+            continue
+        chain = []
+        while t >= 0:
+            chain.append(tiles[t])
+            t = best[t][1]
+        place, wrong, errors, last = [], [], 0, None
+        for i, j, k in reversed(chain):
+            if last is not None:
+                errors += max(i - last[0], j - last[1])
+            place += range(i, i + k)
+            wrong += [errors] * k
+            last = i + k, j + k
+        x, e = np.array(place), np.array(wrong)
+        size, bad = x[None, :] - x[:, None] + 1, e[None, :] - e[:, None]
+        for n in (np.maximum(size, LEAST_WORDS), np.maximum(-(-size // ONE_IN) * ONE_IN, LEAST_WORDS)):
+            if ((size > 0) & (n <= items) & (bad + n - size <= n // ONE_IN)).any():
+                return True
     return False
 
 
@@ -210,9 +203,9 @@ class ItemIndex:
         return sorted(out)
 
     def _holds(self, item: int, doc: np.ndarray, place: np.ndarray, at: np.ndarray) -> bool:
-        """Whether the passage lies in the region of these seeds: by seeds in line, then by a tile that is a whole passage, else word by word.
+        """Whether the passage lies in the region of these seeds: where enough seeds are in line, tiles along that line must cover it.
 
-        Tiles rule nothing out, as a copy elsewhere may have taken words of the passage.
+        Tiles lie in a band about the line, so that a copy elsewhere can't take words of the passage.
         """
         words = self.words[item]
         reach = len(words) + len(words) // ONE_IN + 2 * (LEAST_WORDS + SEED)  # a passage and its errors, whole
@@ -223,18 +216,24 @@ class ItemIndex:
                     return True
             return False
         line = place - at
+        lines: set[int] = set()
         ends = np.searchsorted(at, at + LEAST_WORDS + SEED, "right")
         for a in range(0, len(at), ROWS):  # a band of the seeds each ROWS seeds may be in line with
             rows, near = slice(a, a + ROWS), slice(np.searchsorted(at, at[a]), int(ends[min(a + ROWS, len(at)) - 1]))
             ahead = at[None, near] - at[rows, None]
             in_line = (ahead >= 0) & (ahead <= LEAST_WORDS + SEED) & (np.abs(line[None, near] - line[rows, None]) <= SLACK)
-            if in_line.sum(axis=1).max() >= SEEDS:
-                break
-        else:
-            return False
-        region = doc[max(0, int(at[0]) - LEAST_WORDS) : int(at[-1]) + SEED + LEAST_WORDS].tolist()
-        part = words[max(0, int(place.min()) - LEAST_WORDS) : int(place.max()) + SEED + LEAST_WORDS]
-        return max((k for _, _, k in greedy_tiles(part, region)), default=0) >= LEAST_WORDS or holds_window(part, region)
+            lines.update(line[rows][in_line.sum(axis=1) >= SEEDS].tolist())
+        i0, j0 = max(0, int(place.min()) - LEAST_WORDS), max(0, int(at[0]) - LEAST_WORDS)
+        part, region = words[i0 : int(place.max()) + SEED + LEAST_WORDS], doc[j0 : int(at[-1]) + SEED + LEAST_WORDS].tolist()
+        band: list[int] = []
+        for x in [*sorted(lines), None]:
+            if band and (x is None or x > band[1] + SLACK):
+                if covers_passage(greedy_tiles(part, region, 1, (band[0] - SLACK - i0 + j0, band[1] + SLACK - i0 + j0)), len(part)):
+                    return True
+                band = []
+            if x is not None:
+                band = [band[0] if band else x, x]
+        return False
 
 
 def hashes(x: np.ndarray) -> np.ndarray:
@@ -258,7 +257,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id",
 
     Items are a small fixed set: they are indexed in blocks of ``block`` items, whose number is counted first, and each
     block, of bounded size, goes to the tasks that scan the corpus, whose texts are never shuffled. Shared seeds of four
-    words name candidates; a greedy tile of twenty words settles one, and all others are checked word by word.
+    words name candidates, and a candidate is a leak if greedy tiles of its words cover a passage.
     """
     spark = documents.sparkSession
     rows = items.select(item_key, text).dropna().orderBy(item_key)
