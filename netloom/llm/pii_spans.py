@@ -8,9 +8,15 @@ from dataclasses import dataclass
 
 from netloom.llm.dialogue import fold, repair, skeleton
 
-KINDS = ("email", "phone", "id_number", "address", "person")
-#: The labelers, in the order of their votes: form of the span, word lists, words before, words after, size.
-LABELERS = ("form", "gazetteer", "before", "after", "size")
+#: Classes of each sort of candidate; a vote is a class, "-" where a labeler has none to give.
+CLASSES = {"number": ("none", "phone", "id_number"), "email": ("none", "email"), "address": ("none", "address"), "person": ("none", "person")}
+#: The labelers of each sort, in the order of their votes.
+LABELERS = {
+    "number": ("sign", "layout", "lead", "check digit", "size", "span", "before", "after"),
+    "email": ("sign", "parts", "ending", "local part", "path", "size", "before", "after"),
+    "address": ("house number", "kind of street", "capitals", "size", "before", "after"),
+    "person": ("given names", "family names", "parts", "before", "after"),
+}
 
 # --- Fixed values: words of the details and around them --------------------------------------------------------------
 STREETS_AFTER = ("Street", "St", "Avenue", "Ave.", "Ave", "Road", "Rd", "Lane", "Terrace", "Crescent", "Square", "Sq.", "Sq", "Close", "Drive", "Court", "Place", "Way")
@@ -19,33 +25,34 @@ STREETS_BEFORE = ("C/", "Calle", "Avenida", "Avda.", "Av.", "Plaza", "Paseo", "C
 STREETS_DE = ("straße", "strasse", "str.", "weg", "gasse", "platz", "allee")
 NUMBER_WORDS = ("zero", "oh", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")
 DOMAIN_ENDS = ("com", "org", "net", "edu", "info", "io", "co", "test", "example", "invalid", "de", "fr", "es", "pt", "uk", "ru")
+#: Words that tell what stands after or before them, by class; of several the nearest counts.
 AROUND = {
-    # kind: (before for, before against, after for, after against)
-    "email": (("write to", "mail me", "send it to", "address there is", "contact", "corrections", "mail", "escr", "schreib"), ("downloaded from", "larksub.test"), ("for the tape", "please", "all small letters"), ()),
     "phone": (
-        ("tel.", "tel ", "tel", "call me on", "call", "ring", "the number is", "you dialled", "phone", "mobile"),
-        ("id", "dni", "nif", "contribuinte", "documento", "carné", "card was", "social security", "it says", "steuernummer", "ausweis", "kennnummer", "sécu", "la carte", "mon numéro", "part no.", "lot", "case file", "channel", "score was", "episode", "flight", "chapter", "costs", "that was", "room", "grid", "verse"),
-        ("write it down", "didn't you", "after nine", "ask for the night", "ask for"),
-        ("that's what the form", "born here", "under her photo", "goes to the man", "not later", "do you copy", "reel", "by "),
+        "tel", "tel.", "telephone", "phone", "mobile", "cell", "call", "calling", "ring", "dial", "dialled", "dialed", "text me", "the number is", "number is", "fax", "hotline", "reach me", "ask for", "extension",
+        "teléfono", "móvil", "llama", "llámame", "telefone", "telemóvel", "ligue", "liga", "téléphone", "portable", "appelle", "appelez", "telefon", "handy", "ruf", "anrufen", "durchwahl",
     ),
     "id_number": (
-        ("id", "dni", "nif", "contribuinte", "documento", "carné", "card was", "social security", "it says", "steuernummer", "ausweis", "kennnummer", "sécu", "la carte", "mon numéro", "passport"),
-        ("tel.", "tel", "call me on", "call", "ring", "number is", "you dialled", "part no.", "lot", "case file", "channel", "score was", "episode", "flight", "chapter", "costs", "that was", "room", "grid", "verse"),
-        ("that's what the form", "born here", "under her photo"),
-        ("write it down", "didn't you", "after nine", "ask for", "goes to the man", "not later", "do you copy", "reel"),
+        "id", "identity", "identification", "passport", "licence number", "social security", "national insurance", "card", "identity card", "document", "ssn", "taxpayer", "tax number", "born",
+        "dni", "nif", "nie", "documento", "carné", "cédula", "contribuinte", "cartão", "steuernummer", "steuer-id", "ausweis", "kennnummer", "personalausweis", "sécu", "sécurité sociale", "carte", "la carte", "numéro", "it says",
     ),
+    "email": ("write to", "mail", "mail me", "email", "e-mail", "contact", "send it to", "send to", "corrections", "address", "escribe", "escreva", "schreib", "écris", "écrivez"),
     "address": (
-        ("live at", "bring it to", "fire was at", "wohne", "bring es in die", "bring es in", "brand war", "vivo en", "fue en", "llévalo a", "moro na", "moro no", "foi na", "foi no", "leve até", "habite", "c'est au", "retrouve"),
-        ("turn left on", "miles to", "meet me in"),
-        ("second bell", "and hurry"),
-        (),
-    ),
-    "person": (
-        ("mrs", "mr", "ms", "dr.", "dr", "is that you", "subtitles by", "translated by", "sync:", "looking for", "they arrested", "by"),
-        ("port", "hotel", "ship", "dear", "told"),
-        ("never came back", "will see you now", "open up", "on monday"),
-        ("prize", "is closed", "gentlemen", "ten minutes"),
+        "live at", "lives at", "living at", "address", "bring it to", "deliver to", "house at", "home at", "fire was at", "resident of", "wohne", "wohnt", "bring es", "brand war", "vivo en", "vive en", "fue en", "llévalo a", "moro na", "moro no", "mora na", "foi na", "foi no",
+        "leve até", "habite", "c'est au", "retrouve", "bell", "floor", "flat", "hurry",
     ),
+    "person": ("mr", "mrs", "ms", "miss", "dr", "dr.", "doctor", "prof", "herr", "frau", "señor", "señora", "sr", "sra", "senhor", "senhora", "monsieur", "madame", "mademoiselle", "is that you", "my name is", "named", "called", "subtitles by", "translated by", "sync", "looking for", "arrested", "open up", "will see you"),
+}
+#: Words beside numbers, names and addresses that are no personal detail, by sort of candidate.
+AGAINST = {
+    "number": ("part no", "part no.", "part number", "lot", "case", "case file", "file", "channel", "score", "score was", "episode", "flight", "chapter", "costs", "price", "room", "grid", "verse", "page", "serial", "version", "that was", "year", "years", "reel", "copy"),
+    "email": ("downloaded from", "download from", "visit"),
+    "address": ("turn left on", "turn right on", "turn", "miles to", "meet me in", "down", "along"),
+    "person": ("port", "hotel", "ship", "dear", "prize", "street", "city of", "gentlemen"),
+}
+#: Sizes of the groups of digits in which numbers are usually written, by class; other sizes are neither's.
+LAYOUTS = {
+    "phone": ((3, 4), (3, 3, 4), (2, 2, 2, 2, 2), (5, 6), (3, 4, 4), (3, 5, 3), (3, 8), (4, 7)),
+    "id_number": ((3, 2, 4), (2, 2, 2, 2, 1), (2, 3, 3, 3), (1, 2, 2, 2, 3, 3, 2), (15,), (8, 1), (9,), (2, 3, 4), (2, 6, 1), (2, 3, 3, 1)),
 }
 
 # --- Patterns that bear misread signs --------------------------------------------------------------------------------
@@ -84,34 +91,32 @@ def _number(body: str, flags: int = 0) -> re.Pattern:
     return re.compile(_BEFORE + body.replace("#", _D).replace("_", _SP) + _AFTER, flags)
 
 
-#: name, kinds it may be, pattern; earlier ones take the span.
+#: Patterns of numbers; earlier ones take the span. What the number is, the labelers say.
 _NUMBERS = [
-    ("nir", ("id_number",), _number(r"[12lI](?:_#{2}){3}(?:_#{3}){2}_#{2}")),
-    ("nir joined", ("id_number",), _number(r"[12lI]#{14}")),
-    ("international", ("phone",), re.compile(rf"(?<![\w+])\(?\+{_D}{{1,3}}\)?(?:(?:{_SP}|[-./]|{_SP}?\({_D}\){_SP}?)?{_D}+){{1,7}}" + _AFTER)),
-    ("steuer", ("id_number",), _number(r"#{2}_#{3}_#{3}_#{3}")),
-    ("joined 11", ("id_number", "phone"), _number(r"#{11}")),
-    ("ssn", ("id_number",), _number(r"#{3}(?:-#{2}-|_#{2}_)#{4}")),
-    ("nino", ("id_number",), _number(r"[A-Z0]{2}_?#{2}_?#{2}_?#{2}_?[A-D](?![a-z])", re.I)),
-    ("dni", ("id_number",), _number(r"#{2}\.?#{3}\.?#{3}-?[A-Za-z]")),
-    ("us", ("phone",), re.compile(rf"(?<![\w+])\({_D}{{3}}\){_SP}?{_D}{{3}}[-. ]{_D}{{4}}" + _AFTER)),
-    ("us parted", ("phone",), _number(r"#{3}([-.])#{3}\1#{4}")),
-    ("french", ("phone",), _number(r"[0oO]#(?:(?:_|\.)#{2}){4}")),
-    ("uk mobile", ("phone",), _number(r"[0oO]#{4}_#{6}")),
-    ("uk", ("phone",), _number(r"[0oO]#{2}_#{4}_#{4}")),
-    ("german", ("phone",), _number(r"[0oO]#{2,3}(?:_|/)#{5}_?#{3}")),
-    ("german mobile", ("phone",), _number(r"[0oO]#{3}(?:_|/)#{7}")),
-    ("nine spaced", ("phone", "id_number"), _number(r"#{3}_#{3}_#{3}")),
-    ("nine dotted", ("id_number", "phone"), _number(r"#{3}\.#{3}\.#{3}")),
-    ("joined 9", ("id_number", "phone"), _number(r"#{9}")),
-    ("local", ("phone",), _number(r"#{3}-#{4}")),
-    ("words", ("phone",), re.compile(rf"\b(?:{_any(NUMBER_WORDS)}(?:,?{_SP}|[-,] ?)){{5,}}{_any(NUMBER_WORDS)}(?!\w)", re.I)),
-    ("other", ("phone", "id_number"), re.compile(r"(?<![\w+#@.\-/])\d[\d./\-]{4,}[\dA-Z](?![\w@])")),
+    ("nir", _number(r"[12lI](?:_#{2}){3}(?:_#{3}){2}_#{2}")),
+    ("nir joined", _number(r"[12lI]#{14}")),
+    ("international", re.compile(rf"(?<![\w+])\(?\+{_D}{{1,3}}\)?(?:(?:{_SP}|[-./]|{_SP}?\({_D}\){_SP}?)?{_D}+){{1,7}}" + _AFTER)),
+    ("steuer", _number(r"#{2}_#{3}_#{3}_#{3}")),
+    ("joined 11", _number(r"#{11}")),
+    ("ssn", _number(r"#{3}(?:-#{2}-|_#{2}_)#{4}")),
+    ("nino", _number(r"[A-Z0]{2}_?#{2}_?#{2}_?#{2}_?[A-D](?![a-z])", re.I)),
+    ("dni", _number(r"#{2}\.?#{3}\.?#{3}-?[A-Za-z]")),
+    ("us", re.compile(rf"(?<![\w+])\({_D}{{3}}\){_SP}?{_D}{{3}}[-. ]{_D}{{4}}" + _AFTER)),
+    ("us parted", _number(r"#{3}([-.])#{3}\1#{4}")),
+    ("french", _number(r"[0oO]#(?:(?:_|\.)#{2}){4}")),
+    ("uk mobile", _number(r"[0oO]#{4}_#{6}")),
+    ("uk", _number(r"[0oO]#{2}_#{4}_#{4}")),
+    ("german", _number(r"[0oO]#{2,3}(?:_|/)#{5}_?#{3}")),
+    ("german mobile", _number(r"[0oO]#{3}(?:_|/)#{7}")),
+    ("nine spaced", _number(r"#{3}_#{3}_#{3}")),
+    ("nine dotted", _number(r"#{3}\.#{3}\.#{3}")),
+    ("joined 9", _number(r"#{9}")),
+    ("local", _number(r"#{3}-#{4}")),
+    ("words", re.compile(rf"\b(?:{_any(NUMBER_WORDS)}(?:,?{_SP}|[-,] ?)){{5,}}{_any(NUMBER_WORDS)}(?!\w)", re.I)),
+    ("other", re.compile(r"(?<![\w+#@.\-/])\d[\d./\-]{4,}[\dA-Z](?![\w@])")),
 ]
 #: A number word within a token, however misread; the pattern "words" needs several.
 _NUMBER_WORD = re.compile(rf"\b{_any(NUMBER_WORDS)}(?!\w)", re.I)
-_SURE_IDS = {"nir", "nir joined", "steuer", "ssn", "nino", "dni"}
-_SURE_PHONES = {"international", "us", "us parted", "french", "uk mobile", "uk", "german", "german mobile", "words"}
 
 _DOT_WORD = tolerant("dot")
 _AT, _DOT = rf"(?:{_SP}?[\[(]at[\])]{_SP}?|{_SP}at{_SP})", rf"(?:{_SP}?[\[(]{_DOT_WORD}[\])]{_SP}?|{_SP}{_DOT_WORD}{_SP})"
@@ -129,11 +134,13 @@ _EMAILS = [
 
 @dataclass(frozen=True)
 class Span:
+    """A candidate: where it stands, its sort, a vote of each labeler of that sort, and its shape for the classifier."""
+
     start: int
     end: int
-    kind: str
-    votes: tuple[int, ...]
-    form: str
+    sort: str
+    votes: str
+    shape: str
 
 
 GIVEN, FAMILY, GIVEN_LIKE, FAMILY_LIKE = 1, 2, 4, 8
@@ -216,34 +223,92 @@ def _plain(s: str) -> str:
     return " ".join(x for x in map(skeleton, s.split()) if x)
 
 
-_CONTEXT = {k: tuple([_plain(w) for w in words] for words in v) for k, v in AROUND.items()}
-_NEAR_WORDS = 5
+def _voters(sort: str) -> list[tuple[str, str]]:
+    """Words and the vote each gives, for a sort of candidate."""
+    said = [(w, str(i)) for i, c in enumerate(CLASSES[sort]) for w in (AROUND[c] if i else AGAINST[sort])]
+    return sorted({(f" {_plain(w)} ", v) for w, v in said})
+
+
+_CONTEXT = {sort: _voters(sort) for sort in CLASSES}
+
+
+def _context(sort: str, cue: str, start: int, end: int) -> str:
+    """Votes of the words before and after a span in its cue: of those with a vote, the nearest counts, of two there the longer."""
+    left, right = f" {_plain(cue[:start])} ", f" {_plain(cue[end:])} "
+    before, after = max(((x + len(w), len(w), v) for w, v in _CONTEXT[sort] if (x := left.rfind(w)) >= 0), default=(0, 0, "-")), min(((x, -len(w), v) for w, v in _CONTEXT[sort] if (x := right.find(w)) >= 0), default=(0, 0, "-"))
+    return before[2] + after[2]
+
+
+_DIGITS = str.maketrans("OoIlSB|", "0011581")
 
 
-def _context(kind: str, cue: str, start: int, end: int) -> tuple[int, int]:
-    """Votes of the words before and after a span."""
-    good, bad, after, not_after = _CONTEXT[kind]
-    left = " " + " ".join(_plain(cue[max(0, start - 40) : start]).split(" ")[-_NEAR_WORDS:]) + " "
-    right = _plain(cue[end : end + 40])
+def _check_digits(d: str) -> bool:
+    """Whether the digits hold under one of the public schemes: weights modulo 11 (nine digits), the iterated 11, 10 scheme
+    (eleven), a key modulo 97 (fifteen)."""
+    n = [int(c) for c in d]
+    if len(n) == 9:
+        rest = sum(w * x for w, x in zip(range(9, 1, -1), n, strict=False)) % 11
+        return n[8] == (0 if rest < 2 else 11 - rest)
+    if len(n) == 11:
+        product = 10
+        for x in n[:10]:
+            product = ((product + x) % 10 or 10) * 2 % 11
+        return n[10] == (11 - product) % 10
+    return len(n) == 15 and int(d[:13]) % 97 + int(d[13:]) == 97
 
-    def last(keys: list[str]) -> int:
-        return max((left.rfind(f" {k} ") for k in keys), default=-1)
 
-    g, b = last(good), last(bad)
-    return (1 if g > b else -1 if b > g else 0), 1 if any(right.startswith(k) for k in after) else -1 if any(right.startswith(k) for k in not_after) else 0
+def _number_votes(text: str, name: str, context: str) -> tuple[str, str]:
+    """Votes on a number, and its shape: spelled out or not, first sign, number of digits and of groups, a letter at an end."""
+    if name == "words":
+        return "1-----" + context, "words"
+    groups = re.findall(r"[^\W_]+", text)
+    lettered = groups[-1][-1:].isalpha() and groups[-1][-1] not in "OoIlSB" or groups[0][:1].isalpha() and groups[0][0] not in "OoIlSB"
+    sizes: list[int] = []
+    for g in groups:
+        tail = g[-1].isalpha() and g[-1] not in "OoIlSB" and any(c.isdigit() for c in g)
+        sizes += [len(g) - 1, 1] if tail else [len(g)]
+    digits = "".join(c for c in "".join(groups).translate(_DIGITS) if c.isdigit())
+    n, first = len(digits), text[0] if text[0] in "+(" else "0" if digits[:1] == "0" else "1"
+    sign = "1" if first in "+(" else "2" if lettered else "-"
+    layout = next((str(CLASSES["number"].index(k)) for k, all_ in LAYOUTS.items() if tuple(sizes) in all_), "-" if first == "+" or tuple(sizes) in ((3, 3, 3), (11,)) else "0")
+    lead = "1" if first in "0+" and 9 <= n <= 13 and not lettered else "-"
+    check = "2" if not lettered and _check_digits(digits) else "-"
+    signs = sum(map(len, groups))
+    size = "0" if signs < 7 or n > 15 else "-" if n > 8 or lettered else "1"
+    span = "0" if len(sizes) == 2 and sizes[0] == sizes[1] or re.fullmatch(r"\d+\.\d\d?|\d{1,2}[./]\d{1,2}[./]\d{2,4}", text) else "-"
+    return sign + layout + lead + check + size + span + context, f"{first}{n}/{len(groups)}{'a' if lettered else ''}"
 
 
 def _digits(s: str) -> int:
     return sum(c.isdigit() for c in s)
 
 
-def _in_cue(cue: str, names: Names, hot: bool, numbered: bool) -> list[Span]:
-    out: list[Span] = []
+def _email(m: re.Match, a: int, b: int, name: str) -> Span:
+    cue = m.string
+    text = cue[a:b]
+    plain = name == "words" and not _BRACKETS(text) and not _DOT_BETWEEN(text)
+    at = re.search(r"@|[\[(]at[\])]|\sat\s", text, re.I)
+    local, domain = text[: at.start()].strip(), text[at.end() :].strip()
+    parts = [x for x in re.split(r"[\s.\[\]()]+", domain) if x and skeleton(x) != skeleton("dot")]
+    ending = bool(parts) and any(skeleton(parts[-1]) == skeleton(e) for e in DOMAIN_ENDS)
+    vote = (
+        "0" if plain else "1", "1" if len(parts) > 1 else "0", "1" if ending else "0", "-" if not local.isalpha() or not plain else "0",
+        "0" if cue[b : b + 1] == "/" else "-", "1" if local and b - a >= 12 else "0",
+    )
+    return Span(a, b, "email", "".join(vote) + _context("email", cue, a, b), f"{name}{min(len(parts), 2)}{'p' if plain else ''}")
+
 
-    def add(a: int, b: int, kind: str, form: int, gazetteer: int, size: int, name: str) -> None:
-        before, after = _context(kind, cue, a, b)
-        out.append(Span(a, b, kind, (form, gazetteer, before, after, size), name))
+def _address(cue: str, a: int, b: int, name: str) -> Span:
+    words = cue[a:b].split()
+    numbered = name != "no number" and _digits(cue[a:b]) > 0
+    kind = "1" if name != "no number" and any(len(w) > 4 for w in words) else "-"
+    names = [w for w in words if len(w) > 3 and w[0].isalpha()]
+    capitals = "-" if cue[a:b].isupper() else "1" if names and all(w[0].isupper() for w in names) else "0" if name in ("en", "no number") else "-"
+    return Span(a, b, "address", ("1" if numbered else "0") + kind + capitals + ("1" if 2 < len(words) < 8 or numbered else "0") + _context("address", cue, a, b), f"{'n' if numbered else ''}{capitals}")
 
+
+def _in_cue(cue: str, names: Names, hot: bool, numbered: bool) -> list[Span]:
+    out: list[Span] = []
     taken: list[tuple[int, int]] = []
 
     def free(a: int, b: int) -> bool:
@@ -252,8 +317,7 @@ def _in_cue(cue: str, names: Names, hot: bool, numbered: bool) -> list[Span]:
         taken.append((a, b))
         return True
 
-    low = cue.lower()
-    if "@" in cue or "at" in low:
+    if "@" in cue or "at" in cue.lower():
         for name, p in _EMAILS:
             spelled = name != "words" or _SPELLED(cue)
             for m in p.finditer(cue):
@@ -263,54 +327,36 @@ def _in_cue(cue: str, names: Names, hot: bool, numbered: bool) -> list[Span]:
                 while b > a and cue[b - 1] in ".-_":
                     b -= 1
                 last = re.split(r"[\s.\])]+", cue[a:b].rstrip("]) "))[-1]
-                listed = any(skeleton(last) == skeleton(e) for e in DOMAIN_ENDS)
-                if (listed or spelled) and free(a, b):
-                    # A word before a bare "at" and a site may be no address, and with a path after it, it is none.
-                    plain = name == "words" and not _BRACKETS(m[0]) and not _DOT_BETWEEN(m[0])
-                    path = plain and cue[b : b + 1] == "/"
-                    weak = name == "no domain" or plain and (path or m[0].split()[0].isalpha())
-                    add(a, b, "email", -1 if weak else 1, 1 if listed else -1, 1 if b - a > 8 and a < m.end() and cue[a] != "@" and not path else -1, "plain at" if plain else name)
-    if any(c.isdigit() for c in cue):
-        for name, p in _ADDRESSES:
+                if (spelled or any(skeleton(last) == skeleton(e) for e in DOMAIN_ENDS)) and free(a, b):
+                    out.append(_email(m, a, b, name))
+    digits = any(c.isdigit() for c in cue)
+    if digits:
+        for name, p in _ADDRESSES[:-1]:
             for m in p.finditer(cue):
-                if name == "no number" and any(m.start() < y and x < m.end() for x, y in taken):
-                    continue
                 a, b = m.start(), m.end()
                 while name == "fr" and cue[b - 1] in ".…-'’”\"":
                     b -= 1
-                if not free(a, b):
-                    continue
-                numbered = name != "no number" and _digits(m[0]) > 0
-                add(a, b, "address", 1 if numbered else -1, 1, 1 if numbered and len(m[0].split()) <= 6 else -1, name)
-        for name, kinds, p in _NUMBERS:
-            for m in p.finditer(cue):
-                a, b = m.start(), m.end()
-                if cue[a] == "(" and ")" not in m[0]:
-                    continue
-                n = sum(c.isalnum() for c in m[0])
-                if name != "words" and (n < 5 or _digits(m[0]) < 0.6 * n) or not free(a, b):
-                    continue
-                for kind in kinds:
-                    sure = _SURE_IDS if kind == "id_number" else _SURE_PHONES
-                    other = _SURE_PHONES if kind == "id_number" else _SURE_IDS
-                    form = 1 if name in sure else -1 if name in other or name == "other" else 0
-                    fits = name == "words" or 7 <= n <= 15
-                    add(a, b, kind, form, 0 if name != "other" else -1, (1 if form == 1 else 0) if fits else -1, name)
-    else:
-        for name, kinds, p in _NUMBERS[-2:-1] if numbered else ():
-            for m in p.finditer(cue):
-                if free(m.start(), m.end()):
-                    add(m.start(), m.end(), kinds[0], 1, 0, 1, name)
-        m = _ADDRESSES[-1][1].search(cue) if hot or "five" in low or "zero" in low or "lane" in low else None
-        if m and free(m.start(), m.end()):
-            add(m.start(), m.end(), "address", -1, 1, -1, "no number")
+                if free(a, b):
+                    out.append(_address(cue, a, b, name))
+    for m in _ADDRESSES[-1][1].finditer(cue):
+        if free(m.start(), m.end()):
+            out.append(_address(cue, m.start(), m.end(), "no number"))
+    for name, p in _NUMBERS if digits else _NUMBERS[-2:-1] if numbered else ():
+        for m in p.finditer(cue):
+            a, b = m.start(), m.end()
+            if cue[a] == "(" and ")" not in m[0]:
+                continue
+            n = sum(c.isalnum() for c in m[0])
+            if name != "words" and (n < 5 or _digits(m[0]) < 0.6 * n) or not free(a, b):
+                continue
+            out.append(Span(a, b, "number", *_number_votes(cue[a:b], name, _context("number", cue, a, b))))
     if hot:
         out += _persons(cue, names)
     return out
 
 
 _TOKEN = re.compile(r"[^ \t\r\n]+")
-_MARKUP = re.compile(r"<[^<>\n]{0,40}>|\{[^{}\n]{0,40}\}")
+_MARKUP = re.compile(r"<[^<>\n]*>|\{[^{}\n]*\}")
 _OPEN, _CLOSE = "“\"'‘(<[*♪_#-–—=¿¡", "”\"’')>]*♪_#.,!?…:;=-–—"
 
 
@@ -330,6 +376,10 @@ def _persons(cue: str, names: Names) -> list[Span]:
     out: list[Span] = []
     n = len(tokens)
 
+    def add(a: int, stop: int, of: list[int], shape: str) -> None:
+        given, family = (("1" if any(tokens[k][3] & sure for k in of) else "-" if any(tokens[k][3] & like for k in of) else "0") for sure, like in ((GIVEN, GIVEN_LIKE), (FAMILY, FAMILY_LIKE)))
+        out.append(Span(a, stop, "person", given + family + ("1" if len(of) > 1 else "0") + _context("person", cue, a, stop), shape))
+
     def initial(k: int) -> bool:
         return k < n and tokens[k][1] - tokens[k][0] == 1 and tokens[k][2].startswith(".") and cue[tokens[k][0]].isalpha()
 
@@ -342,13 +392,13 @@ def _persons(cue: str, names: Names) -> list[Span]:
         if not c:
             i += 1
             continue
-        last, form, sure = None, "", 1
+        last, form = None, ""
         if c & (GIVEN | GIVEN_LIKE) and end in ("", "?"):  # given (a lost letter may stand as a question mark), perhaps an initial, family
             j = i + 1
             if initial(j):
                 j += 1
             if is_(j, FAMILY, FAMILY_LIKE) and (c & GIVEN or tokens[j][3] & FAMILY):
-                last, form, sure = j, "given family", 1 if c & GIVEN and tokens[j][3] & FAMILY else 0
+                last, form = j, "given family"
                 k = j + 1
                 if not tokens[j][2] and k < n and tokens[k][3] & FAMILY and not tokens[k][3] & GIVEN and not (tokens[k][2] == "," and is_(k + 1, GIVEN, 0)):
                     last, form = k, "two families"
@@ -356,18 +406,16 @@ def _persons(cue: str, names: Names) -> list[Span]:
             comma = end == ","
             nxt = tokens[i + 1]
             if comma or (c & FAMILY and nxt[3] & GIVEN and not is_(i + 2, FAMILY, FAMILY_LIKE) and not (initial(i + 2) and is_(i + 3, FAMILY, FAMILY_LIKE))):
-                last, form, sure = i + 1, "family, given" if comma else "family given", 1 if c & FAMILY and nxt[3] & GIVEN else 0
+                last, form = i + 1, "family, given" if comma else "family given"
                 if not nxt[2] and initial(i + 2) and not is_(i + 3, FAMILY, FAMILY_LIKE):
                     last = i + 2
         if last is not None:
             stop = tokens[last][1] + (1 if initial(last) else 0)
-            before, after = _context("person", cue, a, stop)
-            out.append(Span(a, stop, "person", (1, sure, before, after, 1), form))
+            add(a, stop, [i, last], form)
             i = last + 1
         else:  # a single name
             if c & (GIVEN | FAMILY):
-                before, after = _context("person", cue, a, b)
-                out.append(Span(a, b, "person", (-1, 0, before, after, -1), "single"))
+                add(a, b, [i], "single")
             i += 1
     return out
 
@@ -375,7 +423,7 @@ def _persons(cue: str, names: Names) -> list[Span]:
 _TIMES = re.compile(r"﻿?(?:[^>]{0,24}\d[^>]{0,24}-{1,2} ?>|[\dOolI;.,\s]+:[\dOolI:;.,\s]{4,16}(?:-*>|[-–—]+)[\dOolI;.,\s]+:)")
 _HEADS = frozenset("0123456789OolI﻿")
 _COUNT = re.compile(r"﻿?[\dOolI]{1,6}$")
-_HINTS = re.compile(r"\d|@|\b(?:at|AT|five|FIVE|zero|ZERO|[Ll]ane|LANE)\b|\(at|\[at|\(AT|\[AT|[Ff][Il1]vc").search
+_HINTS = re.compile(r"\d|@|\b(?:[Aa]t|AT)\b").search
 
 
 def spans(text: str, names: Names) -> list[Span]:
@@ -393,7 +441,7 @@ def spans(text: str, names: Names) -> list[Span]:
             hot = hot_words and any(c & (GIVEN | FAMILY) for c in bits)
             numbered = number_words and sum(2 if c & NUMBERS else 1 for c in bits if c & (NUMBER | NUMBERS)) > 1
             if hot or numbered or _HINTS(cue):
-                out.extend(Span(x.start + start, x.end + start, x.kind, x.votes, x.form) for x in _in_cue(cue, names, hot, numbered))
+                out.extend(Span(x.start + start, x.end + start, x.sort, x.votes, x.shape) for x in _in_cue(cue, names, hot, numbered))
         start = -1
 
     for line in text.split("\n"):
