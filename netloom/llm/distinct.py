@@ -15,12 +15,13 @@ def pair_state(df: DataFrame, identifier: Column, groups: dict[str, Column], buc
     """The partial result of ``df``: each identifier once per combination of groups, with the hash range it falls in.
 
     Columns ``bucket``, the groups, ``id``. Rows with a null identifier or group are left out; repeated rows and other
-    columns change nothing; an empty input gives an empty state. Repeats go on the map side, before the shuffle, and the
-    shuffle spreads by all columns, so neither a hot identifier nor a hot group gathers in one task.
+    columns change nothing; an empty input gives an empty state. Pairs are deduplicated within their hash range, on the map
+    side first; the shuffle spreads by range, groups and identifier, so neither a hot identifier nor a hot group gathers in
+    one task.
     """
     names = list(groups)
     rows = df.select(*[c.alias(k) for k, c in groups.items()], identifier.alias("id")).dropna()
-    return rows.dropDuplicates([*names, "id"]).select(F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int").alias("bucket"), *names, "id")
+    return rows.select(F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int").alias("bucket"), *names, "id").dropDuplicates()
 
 
 def join_states(*states: DataFrame) -> DataFrame:

@@ -48,12 +48,17 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return p4_frequent(spark, sf).select("item_kind", "item")
 
 
+def p4_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """The frequent items with their exact counts of the second pass."""
+    return p4_frequent(spark, sf).select("item_kind", "item", "n_rows")
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     """Token ids of every document."""
     return encode_corpus(load(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_distinct, p4_found, p4_frequent, p8_ids)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_distinct, p4_found, p4_frequent, p4_counts, p8_ids)}
 
 _DISTINCT = f"""
   with ips as ({ip_map([("read_packets", "src_ip"), ("read_packets", "dst_ip")])}),
@@ -61,13 +66,18 @@ _DISTINCT = f"""
         join ips s on s.raw = r.src_ip join ips d on d.raw = r.dst_ip where "timestamp" is not null and s.host is not null and d.host is not null)
 """
 
-ORACLE = {
-    "p3_found": f"{_DISTINCT} select capture_day, dst_ip from p group by 1, 2 having count(distinct src_ip) >= {LEAST_SOURCES}",
-    "p3_distinct": f"{_DISTINCT} select capture_day, dst_ip, count(distinct src_ip) as n_distinct from p group by grouping sets ((capture_day, dst_ip), (capture_day), (dst_ip))",
-    "p4_found": f"""
+def _frequent(count: str) -> str:
+    return f"""
       with ips as ({ip_map([("read_packets", "src_ip")])}),
       q as (select unnest(dns_questions) as q from read_dns_messages),
       n as (select regexp_replace(lower(q.name), '\\.$', '') as item from q where q.name is not null)
-      select 'dns_name' as item_kind, item from n group by item having count(*) * 100 >= (select count(*) from n)
-      union all select 'src_ip', host from read_packets join ips on raw = src_ip where host is not null group by host having count(*) * 100 >= (select count(*) from read_packets)""",
+      select 'dns_name' as item_kind, item{count} from n group by item having count(*) * 100 >= (select count(*) from n)
+      union all select 'src_ip', host{count} from read_packets join ips on raw = src_ip where host is not null group by host having count(*) * 100 >= (select count(*) from read_packets)"""
+
+
+ORACLE = {
+    "p3_found": f"{_DISTINCT} select capture_day, dst_ip from p group by 1, 2 having count(distinct src_ip) >= {LEAST_SOURCES}",
+    "p3_distinct": f"{_DISTINCT} select capture_day, dst_ip, count(distinct src_ip) as n_distinct from p group by grouping sets ((capture_day, dst_ip), (capture_day), (dst_ip))",
+    "p4_found": _frequent(""),
+    "p4_counts": _frequent(", count(*) as n_rows"),
 }
