@@ -7,13 +7,13 @@ from datetime import timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.operators.ordered import CLOCK, SCOPE, along, vlan_list, with_clock, with_pair
+from netloom.operators.ordered import CLOCK, SCOPE, along, vlan_list, with_clock, with_inputs, with_pair
 
 FIN, SYN, RST, ACK = 1, 2, 4, 16
 TCP_IDLE, UDP_IDLE = timedelta(minutes=5), timedelta(minutes=1)
 _SIDES = ("packets", "captured_bytes", "reported_bytes", "payload_bytes")
 _STATE = (
-    "filename string, input_index long, section_number long, interface_id long, vlans string, ip_version short, ip_protocol short, orig_ip string, orig_port int, resp_ip string, resp_port int, originator_basis string, "
+    "filename string, input_index long, input_count long, section_number long, interface_id long, vlans string, ip_version short, ip_protocol short, orig_ip string, orig_port int, resp_ip string, resp_port int, originator_basis string, "
     + ", ".join(f"{s}_{c} long" for c in _SIDES for s in ("orig", "resp"))
     + ", first_packet_number long, last_packet_number long, first_us long, last_us long, missing_timestamp_packets long, late_packets long, orig_tcp_flags int, resp_tcp_flags int, handshake_complete boolean, syn_seen boolean, fin_seen boolean, reset_seen boolean, simultaneous_open boolean, equal_endpoints boolean, finalized_by string"
 )
@@ -129,8 +129,8 @@ class _Machine:
         return [self._close("idle_timeout" if later and self._expired(p.final_clock) else "eof" if p.last_section else "section_boundary")]
 
 
-def read_flows(packets: DataFrame, tcp_idle_timeout: timedelta = TCP_IDLE, udp_idle_timeout: timedelta = UDP_IDLE, file_count: int = 1) -> DataFrame:
-    """One row per session of decoded packets (columns of the packet reader, with ``input_index`` if there are several inputs).
+def read_flows(packets: DataFrame, tcp_idle_timeout: timedelta = TCP_IDLE, udp_idle_timeout: timedelta = UDP_IDLE) -> DataFrame:
+    """One row per session of decoded packets (columns of the packet reader).
 
     A session lives within one input, section, interface, VLAN stack and pair of endpoints. It ends when the interface's
     clock passes its last time by more than the timeout (0: never), at a reset, when a plain SYN reuses its endpoints, or
@@ -138,11 +138,10 @@ def read_flows(packets: DataFrame, tcp_idle_timeout: timedelta = TCP_IDLE, udp_i
     packets without a time join the open session and are counted; a session with a packet without a time has no duration
     and never times out. Rows with a null packet number are left out; repeated rows count each time.
 
-    The clock depends on an interface alone, so once it stands beside each packet, sessions are independent by key; how many
+    ``flow_id`` differs between all inputs: it counts first packets by inputs (see ``with_inputs``). The clock depends on an interface alone, so once it stands beside each packet, sessions are independent by key; how many
     are open at a time is not limited.
     """
-    if "input_index" not in packets.columns:
-        packets = packets.withColumn("input_index", F.lit(0).cast("long"))
+    packets = with_inputs(packets)
     if tcp_idle_timeout < timedelta(0) or udp_idle_timeout < timedelta(0):
         raise ValueError("idle timeouts must be nonnegative")
     cols = list(FLOW_COLUMNS)
@@ -164,7 +163,7 @@ def read_flows(packets: DataFrame, tcp_idle_timeout: timedelta = TCP_IDLE, udp_i
 
     span = F.when(timed, F.col("last_us") - F.col("first_us"))
     return s.select(
-        "filename", "input_index", ((F.col("first_packet_number") - 1) * file_count + F.col("input_index") + 1).alias("flow_id"), "section_number", "interface_id", vlan_list().alias("vlan_ids"), "first_packet_number", "last_packet_number",
+        "filename", "input_index", ((F.col("first_packet_number") - 1) * F.col("input_count") + F.col("input_index")).alias("flow_id"), "section_number", "interface_id", vlan_list().alias("vlan_ids"), "first_packet_number", "last_packet_number",
         F.when(tcp, "tcp").otherwise("udp").alias("transport"), "ip_version", "orig_ip", "orig_port", "resp_ip", "resp_port", "originator_basis", *[f"{x}_{c}" for c in _SIDES for x in ("orig", "resp")],
         stamp("first_us").alias("first_timestamp"), stamp("last_us").alias("last_timestamp"), F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (span / 1_000_000).cast("decimal(18,6)")).alias("duration"), "missing_timestamp_packets", "late_packets",
         "orig_tcp_flags", "resp_tcp_flags", "handshake_complete", "syn_seen", "fin_seen", "reset_seen", "simultaneous_open", "equal_endpoints",

@@ -98,7 +98,7 @@ def _merge(c: tuple[object, tls.Side] | None, s: tuple[object, tls.Side] | None,
     )
 
 
-def read_tls(packets: DataFrame, tcp_idle_timeout: timedelta = TCP_IDLE, file_count: int = 1) -> DataFrame:
+def read_tls(packets: DataFrame, tcp_idle_timeout: timedelta = TCP_IDLE) -> DataFrame:
     """One row per TLS handshake: both hellos, their lists with and without GREASE, fingerprints, certificates and tunnel.
 
     The n-th hello of a client's direction pairs with the n-th of its server's; a side that wasn't captured leaves its
@@ -106,7 +106,7 @@ def read_tls(packets: DataFrame, tcp_idle_timeout: timedelta = TCP_IDLE, file_co
     too. Fingerprints are native expressions over the lists, so they cost nothing where they aren't selected; JA4S and JA4X,
     bound to a restrictive licence, stay null.
     """
-    d = directions(packets, tcp_idle_timeout, file_count).filter("has_row")
+    d = directions(packets, tcp_idle_timeout).filter("has_row")
     d = d.withColumn("_low", F.least(F.struct("src_ip", "src_port"), F.struct(F.col("dst_ip").alias("src_ip"), F.col("dst_port").alias("src_port"))))
     d = d.withColumn("_high", F.greatest(F.struct("src_ip", "src_port"), F.struct(F.col("dst_ip").alias("src_ip"), F.col("dst_port").alias("src_port"))))
     d = d.withColumn("pair", F.concat_ws("|", F.col("_low.src_ip"), F.col("_low.src_port").cast("string"), F.col("_high.src_ip"), F.col("_high.src_port").cast("string"))).drop("_low", "_high")

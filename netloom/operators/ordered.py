@@ -10,15 +10,33 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netloom.session import epoch_us
+from netloom.session import epoch_us, materialize
 
-SCOPE = ["filename", "input_index", "section_number", "interface_id"]
+SCOPE = ["filename", "input_index", "input_count", "section_number", "interface_id"]
 #: What the reader can give of a capture's clocks (see ``with_clock``), and whether the section is the capture's last.
 CLOCK = ["clock", "late", "final_clock", "final_packet", "last_section"]
 #: Packets of an interface that one sort covers; longer captures are spread over as many sorts as they need.
 CHUNK = 65_536
 
 
+def with_inputs(packets: DataFrame) -> DataFrame:
+    """Adds ``input_index`` and ``input_count`` where they lack. Rows of the capture reader bring them along.
+
+    Otherwise each file name is an input, numbered from 1 in order of name: names are sorted in ranges, so that no task
+    holds all, and only the ranges' sizes go to the driver. Where just ``input_count`` lacks, it is the greatest index.
+    """
+    if "input_index" in packets.columns:
+        return packets if "input_count" in packets.columns else packets.withColumn("input_count", packets.agg(F.max("input_index")).scalar())
+    files = packets.select(F.col("filename").alias("_file")).distinct().repartitionByRange("_file").withColumn("_part", F.spark_partition_id())
+    files = materialize(files, "inputs")
+    sizes = sorted(files.groupBy("_part").count().collect())
+    before = np.cumsum([0, *(r["count"] for r in sizes)]).tolist()
+    parts = packets.sparkSession.createDataFrame([(r["_part"], n) for r, n in zip(sizes, before, strict=False)], "_part int, _before long")  # one row a range
+    place = F.row_number().over(Window.partitionBy("_part").orderBy("_file"))
+    numbered = files.withColumn("_place", place).join(F.broadcast(parts), "_part").select("_file", (F.col("_place") + F.col("_before")).alias("input_index"), F.lit(before[-1]).cast("long").alias("input_count"))
+    return packets.join(numbered, packets["filename"].eqNullSafe(numbered["_file"])).drop("_file")
+
+
 def with_clock(packets: DataFrame) -> DataFrame:
     """Adds ``us`` and, per interface: ``clock`` (latest time so far, this packet's included), ``late`` (this packet lies
     before the latest time of earlier ones), ``final_clock`` and ``final_packet`` of the whole interface.

@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.operators.flows import ACK, FIN, RST, SYN, TCP_IDLE
-from netloom.operators.ordered import SCOPE, along, vlan_list, with_clock, with_pair
+from netloom.operators.ordered import SCOPE, along, vlan_list, with_clock, with_inputs, with_pair
 from netloom.sources import dns
+from netloom.session import epoch_us, materialize
 from netloom.sources.captures import DNS
 
 # The bounds below, and the statuses and errors named where they arise.
@@ -21,7 +22,7 @@ MOST_BYTES, MOST_SEGMENTS, MOST_MESSAGES = 1 << 20, 4096, 4096
 _CHUNKS = "array<struct<offset:long,tcp_sequence:long,data:binary,first_packet_number:long,last_packet_number:long>>"
 _ORIGINS = "array<struct<offset:long,length:long,packet:long,us:long>>"
 _STREAM = (
-    "filename string, input_index long, section_number long, interface_id long, ip_version short, src_ip string, dst_ip string, src_port int, dst_port int, vlans string, tcp_sequence long, syn_seen boolean, fin_seen boolean, reset_seen boolean, finalized_by string, reassembly_status string, reassembly_error string, "
+    "filename string, input_index long, input_count long, section_number long, interface_id long, ip_version short, src_ip string, dst_ip string, src_port int, dst_port int, vlans string, tcp_sequence long, syn_seen boolean, fin_seen boolean, reset_seen boolean, finalized_by string, reassembly_status string, reassembly_error string, "
     f"first_packet_number long, last_packet_number long, first_us long, last_us long, expected_bytes long, captured_bytes long, chunks {_CHUNKS}, gaps array<struct<offset:long,length:long>>, origins {_ORIGINS}, has_row boolean"
 )
 
@@ -186,23 +187,35 @@ class _Connection:
 NEEDED = [*SCOPE, "packet_number", "timestamp", "vlan_ids", "ip_version", "ip_protocol", "src_ip", "dst_ip", "src_port", "dst_port", "tcp_flags", "tcp_seq", "payload", "payload_length", "payload_declared_length"]
 
 
+#: The clock of TCP packets, which the packet reader gives if asked for.
+TCP_CLOCK = ["tcp_clock", "tcp_final_clock", "tcp_final_packet"]
+
+
 def _stamp(c: str):
     return F.timestamp_add("MICROSECOND", F.col(c), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
 
 
-def directions(packets: DataFrame, tcp_idle_timeout: timedelta = TCP_IDLE, file_count: int = 1) -> DataFrame:
+def directions(packets: DataFrame, tcp_idle_timeout: timedelta = TCP_IDLE) -> DataFrame:
     """Every direction that was seen, numbered within its input by its first packet; ``has_row`` tells those that carried data."""
     if tcp_idle_timeout < timedelta(0):
         raise ValueError("tcp_idle_timeout must be nonnegative")
-    tcp = with_pair(with_clock(packets.select(*NEEDED).filter("ip_protocol = 6 and src_port is not null"))).drop("timestamp", "vlan_ids", "ip_protocol", "payload_length")
+    packets = with_inputs(packets)
+    given = set(TCP_CLOCK) <= set(packets.columns)  # the reader's, which is not sorted and joined
+    tcp = packets.select(*NEEDED, *(F.col(c).alias(c[4:]) for c in TCP_CLOCK if given)).filter("ip_protocol = 6 and src_port is not null")
+    tcp = tcp.withColumn("us", epoch_us(F.col("timestamp"))) if given else with_clock(tcp)
+    tcp = with_pair(tcp).drop("timestamp", "vlan_ids", "ip_protocol", "payload_length")
     keys = [*SCOPE, "ip_version", "vlans", "low_ip", "low_port", "high_ip", "high_port"]
     idle = int(tcp_idle_timeout / timedelta(microseconds=1))
     d = along(tcp, keys, ["packet_number"], lambda: _Connection(idle), _STREAM)
+    # Directions are numbered without their bytes, and a capture's numbers are joined to them.
+    d = materialize(d, "directions")
     number = F.row_number().over(Window.partitionBy("filename", "input_index").orderBy("first_packet_number"))
-    return d.withColumn("stream_id", (number - 1) * file_count + F.col("input_index") + 1)
+    ids = d.select("filename", "input_index", "input_count", "first_packet_number").withColumn("stream_id", (number - 1) * F.col("input_count") + F.col("input_index"))
+    ids = ids.select(F.col("filename").alias("_f"), F.col("input_index").alias("_i"), F.col("first_packet_number").alias("_p"), "stream_id")
+    return d.join(ids, F.col("filename").eqNullSafe(F.col("_f")) & (F.col("input_index") == F.col("_i")) & (F.col("first_packet_number") == F.col("_p"))).drop("_f", "_i", "_p")
 
 
-def read_tcp_streams(packets: DataFrame, tcp_idle_timeout: timedelta = TCP_IDLE, file_count: int = 1) -> DataFrame:
+def read_tcp_streams(packets: DataFrame, tcp_idle_timeout: timedelta = TCP_IDLE) -> DataFrame:
     """One row per TCP direction that carried data, with its bytes, chunks and gaps.
 
     ``packets`` are rows of the packet reader with ``NEEDED`` columns. A connection's two directions are put together side
@@ -210,7 +223,7 @@ def read_tcp_streams(packets: DataFrame, tcp_idle_timeout: timedelta = TCP_IDLE,
     passes it by more than the timeout, or with the capture. Bytes, segments and messages of one direction are bounded;
     beyond, its status is ``limit``. The clock never runs back, and directions of one capture aren't limited in number.
     """
-    d = directions(packets, tcp_idle_timeout, file_count).filter("has_row")
+    d = directions(packets, tcp_idle_timeout).filter("has_row")
     bad = F.col("reassembly_status").isin("conflict", "limit")
     return d.select(
         "filename", "section_number", "interface_id", "ip_version", "src_ip", "dst_ip", "src_port", "dst_port", "stream_id", F.when(~bad, F.col("tcp_sequence")).alias("tcp_sequence"), "syn_seen", "fin_seen", "reset_seen", "finalized_by", "reassembly_status", "reassembly_error",
@@ -259,14 +272,14 @@ _FRAME = "message_number long, first_packet_number long, last_packet_number long
 _OF = ["filename", "section_number", "interface_id", "ip_version", "src_ip", "dst_ip", "src_port", "dst_port"]
 
 
-def read_dns_messages(packets: DataFrame, tcp_idle_timeout: timedelta = TCP_IDLE, file_count: int = 1) -> DataFrame:
+def read_dns_messages(packets: DataFrame, tcp_idle_timeout: timedelta = TCP_IDLE) -> DataFrame:
     """One row per DNS message of port 53: UDP datagrams, and messages and diagnostics of TCP directions."""
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_schema
 
     p = packets.filter("src_port = 53 or dst_port = 53")
     frame = to_arrow_schema(T.StructType.fromDDL(_FRAME))
-    streams = directions(p, tcp_idle_timeout, file_count).filter("has_row")
+    streams = directions(p, tcp_idle_timeout).filter("has_row")
     names = [*_OF, "stream_id", "vlans", *frame.names]
     take = [*_OF, "stream_id", "vlans", "first_packet_number", "last_packet_number", "first_us", "last_us", "tcp_sequence", "reassembly_status", "reassembly_error", "syn_seen", "chunks", "gaps", "origins", "expected_bytes", "finalized_by"]
 

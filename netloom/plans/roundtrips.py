@@ -19,7 +19,7 @@ from netloom.operators.flows import FLOW_COLUMNS, read_flows
 from netloom.operators.handshakes import read_tls
 from netloom.operators.inventory import capture_inventory
 from netloom.operators.ordered import CLOCK
-from netloom.operators.streams import NEEDED, read_dns_messages, read_tcp_streams
+from netloom.operators.streams import NEEDED, TCP_CLOCK, read_dns_messages, read_tcp_streams
 from netloom.session import load, local_path, scratch
 from netloom.sources import build as B
 from netloom.sources.captures import read_dns, read_packets, read_pcap
@@ -142,7 +142,7 @@ def _doc_id() -> Column:
 
 def tcp_stream_bytes(spark: SparkSession, sf: str) -> DataFrame:
     """Documents put together again from shuffled and repeated segments."""
-    p = read_packets(spark, _file(spark, _packets(_documents(spark, sf), _shuffled), "streams"), NEEDED)
+    p = read_packets(spark, _file(spark, _packets(_documents(spark, sf), _shuffled), "streams"), [*NEEDED, *TCP_CLOCK])
     return read_tcp_streams(p).select(_doc_id().alias("doc_id"), F.sha2("stream_data", 256).alias("digest"), "expected_bytes", "captured_bytes", "reassembly_status", "finalized_by", "has_gaps")
 
 
@@ -171,7 +171,7 @@ def _asked(r: dict):
 
 def dns_messages(spark: SparkSession, sf: str) -> DataFrame:
     """Names that come back from UDP datagrams and TCP streams."""
-    p = read_packets(spark, _file(spark, _packets(_names(spark, sf), _asked), "dns"), NEEDED)
+    p = read_packets(spark, _file(spark, _packets(_names(spark, sf), _asked), "dns"), [*NEEDED, *TCP_CLOCK])
     return read_dns_messages(p).select("transport", "dns_question_name", "dns_valid", "message_number", "reassembly_status")
 
 
@@ -192,7 +192,7 @@ def _hello(r: dict):
 def tls_ja3(spark: SparkSession, sf: str) -> DataFrame:
     """Fingerprints, names and versions of handshakes that are cut into small segments."""
     docs = load(spark, sf, "documents").filter("doc_id is not null").select("doc_id")
-    p = read_packets(spark, _file(spark, _packets(docs, _hello), "tls"), NEEDED)
+    p = read_packets(spark, _file(spark, _packets(docs, _hello), "tls"), [*NEEDED, *TCP_CLOCK])
     return read_tls(p).select("tls_sni", "ja3", "ja3_full", "ja3s_full", "ja4_r", "negotiated_version", "cipher_suite", "reassembly_status", F.size("warnings").alias("n_warnings"))
 
 

@@ -35,10 +35,13 @@ _RR = "array<struct<name:string,type:int,class:int,ttl:long,value:string,data:bi
 DNS = f"dns_valid boolean, dns_id int, dns_response boolean, dns_opcode short, dns_rcode short, dns_truncated boolean, dns_question_name string, dns_question_type int, dns_question_class int, dns_questions array<struct<name:string,type:int,class:int>>, dns_answers {_RR}, dns_authorities {_RR}, dns_additionals {_RR}, dns_error string"
 PACKETS = ", ".join([RAW, _LINK, _NETWORK, _TRANSPORT, _TLS])
 LAYERS = {"pcap": RAW, "packets": PACKETS, "dns": f"{PACKETS}, {DNS}"}
-#: Extra columns that other operators ask for: which input a row is from, the transport payload as captured, and its declared size.
-EXTRA = "input_index long, payload binary, payload_declared_length long, decode_outcome string, clock long, late boolean, final_clock long, final_packet long, last_section boolean"
+#: Extra columns that other operators ask for: which input a row is from, counted from 1, and of how many; clocks (see
+#: ``CLOCKS``); the transport payload as captured, and its declared size.
+EXTRA = "input_index long, input_count long, tcp_clock long, tcp_final_clock long, tcp_final_packet long, payload binary, payload_declared_length long, decode_outcome string, clock long, late boolean, final_clock long, final_packet long, last_section boolean"
 #: Of these, what depends on all packets of an interface: see ``netloom.operators.ordered.with_clock``.
 CLOCKS = {"clock", "late", "final_clock", "final_packet", "last_section"}
+#: The same, but moved by packets with a whole TCP header only: see ``netloom.operators.streams.directions``.
+TCP_CLOCKS = {"tcp_clock", "tcp_final_clock", "tcp_final_packet"}
 _OUTCOMES = np.array(["not_requested", "decoded", "malformed", "unsupported", "fragment"], object)
 
 
@@ -250,10 +253,13 @@ class CaptureReader(DataSourceReader):
             data = open_bytes(path)
             capture = Capture(path, data)
             clocks = Clocks(path, data) if asked & CLOCKS else None
+            tcp = Clocks(path, data, tcp=True) if asked & TCP_CLOCKS else None
             for raw in capture.batches():
                 if clocks:
                     raw |= clocks.of(raw)
-                cols = Columns(raw, capture, index, data, depth, self.layer == "dns")
+                if tcp:
+                    raw |= {f"tcp_{c}": v for c, v in tcp.of(raw).items() if f"tcp_{c}" in TCP_CLOCKS}
+                cols = Columns(raw, capture, index, data, depth, self.layer == "dns", max(1, len(self.paths)))
                 for first in (True, False):  # raw columns first, so that fewer packets are decoded
                     for t in tests:
                         if (t.column in _RAW_NAMES) == first:
@@ -271,28 +277,37 @@ def _utc_us(t: datetime) -> int:
 
 
 class Clocks:
-    """Clocks of a capture's interfaces. A first pass over the record headers finds where they end."""
+    """Clocks of a capture's interfaces, moved by all packets or by TCP packets only. A first pass finds where they end."""
 
-    def __init__(self, path: str, data: np.ndarray):
+    def __init__(self, path: str, data: np.ndarray, tcp: bool = False):
         self.now: dict[int, int] = {}
         self.end: dict[int, tuple[int, int]] = {}
         self.sections = 0
+        self.data, self.tcp = data, tcp
         for raw in Capture(path, data).batches():
-            for scope, rows in self._scopes(raw):
+            for scope, rows in self._scopes(raw, self._moving(raw)):
                 top, _ = self.end.get(scope, (NO_TIME, 0))
                 self.end[scope] = (max(top, int(raw["ts"][rows].max())), int(raw["packet_number"][rows[-1]]))
             self.sections = int(raw["section_number"][-1])
 
+    def _moving(self, raw: dict[str, np.ndarray]) -> np.ndarray:
+        if not self.tcp:
+            return np.ones(len(raw["ts"]), bool)
+        return D.Packets(self.data, raw["packet_offset"], raw["captured_length"], raw["link_type"], D.TRANSPORT).tcp
+
     @staticmethod
-    def _scopes(raw: dict[str, np.ndarray]) -> list[tuple[int, np.ndarray]]:
+    def _scopes(raw: dict[str, np.ndarray], moving: np.ndarray) -> list[tuple[int, np.ndarray]]:
         scope = raw["section_number"] << 32 | raw["interface_id"]
-        return [(int(s), np.flatnonzero(scope == s)) for s in np.unique(scope)]
+        first = scope[0]
+        if moving.all() and (scope == first).all():
+            return [(int(first), np.arange(len(scope)))]
+        return [(int(s), np.flatnonzero((scope == s) & moving)) for s in np.unique(scope[moving])]
 
     def of(self, raw: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         """The clock columns of the next batch."""
         n = len(raw["ts"])
         out = {c: np.zeros(n, np.int64) for c in ("clock", "final_clock", "final_packet")} | {"late": np.zeros(n, bool)}
-        for scope, rows in self._scopes(raw):
+        for scope, rows in self._scopes(raw, self._moving(raw)):
             ts = raw["ts"][rows]
             line = np.maximum.accumulate(np.concatenate([[self.now.get(scope, NO_TIME)], ts]))
             out["clock"][rows], out["late"][rows] = line[1:], (ts != NO_TIME) & (ts < line[:-1])
@@ -304,8 +319,8 @@ class Clocks:
 class Columns:
     """Columns of a batch, each made when first asked for."""
 
-    def __init__(self, raw: dict[str, np.ndarray], capture: Capture, index: int, data: np.ndarray, depth: int, dns: bool):
-        self.raw, self.capture, self.index, self.data, self.depth = raw, capture, index, data, depth
+    def __init__(self, raw: dict[str, np.ndarray], capture: Capture, index: int, data: np.ndarray, depth: int, dns: bool, count: int = 1):
+        self.raw, self.capture, self.index, self.data, self.depth, self.count = raw, capture, index, data, depth, count
         self.n = len(raw["ts"])
         self.packets: D.Packets | None = None
         self.made: dict[str, pa.Array] = {}
@@ -338,12 +353,12 @@ class Columns:
         r, n = self.raw, self.n
         if name in ("filename", "capture_format"):
             return pa.DictionaryArray.from_arrays(pa.array(np.zeros(n, np.int32)), pa.array([self.capture.path if name == "filename" else self.capture.format])).cast(pa.string())
-        if name == "input_index":
-            return pa.array(np.full(n, self.index, np.int64))
+        if name in ("input_index", "input_count"):
+            return pa.array(np.full(n, self.index + 1 if name == "input_index" else self.count, np.int64))
         if name == "timestamp":
             return pa.array(r["ts"], mask=r["ts"] == NO_TIME).cast(pa.timestamp("us"))
         if name in r:
-            return pa.array(r[name], mask=r[name] == NO_TIME if name in ("clock", "final_clock") else None)
+            return pa.array(r[name], mask=r[name] == NO_TIME if name.endswith("clock") else None)
         if name == "packet_data":
             return pa.array([self.data[a : a + s].tobytes() for a, s in zip(r["packet_offset"].tolist(), r["captured_length"].tolist(), strict=True)], pa.binary())
         p = self.p

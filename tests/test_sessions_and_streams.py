@@ -141,7 +141,7 @@ def test_clocks_of_the_reader(spark, tmp_path):
 def test_flow_columns(spark, tmp_path):
     p = capture(tmp_path, [*B.conversation("10.0.0.1", "192.0.2.1", 5000, 80, b"a" * 10, b"b" * 20), B.packet("10.0.0.1", "10.0.0.1", 17, B.udp(7, 7, b"z"), vlans=(3,))])
     df = read_packets(spark, [p, p], FLOW)
-    rows = read_flows(df, file_count=2).orderBy("flow_id").collect()
+    rows = read_flows(df).orderBy("flow_id").collect()
     assert [r.flow_id for r in rows] == [1, 2, 15, 16]
     a, u = rows[0], rows[2]
     assert (a.orig_ip, a.resp_port, a.orig_packets, a.resp_packets, a.orig_payload_bytes, a.resp_payload_bytes, a.handshake_complete, a.partial_session, a.ambiguous, a.finalized_by) == ("10.0.0.1", 80, 4, 3, 10, 20, True, False, False, "eof")
