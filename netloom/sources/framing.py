@@ -70,49 +70,75 @@ class Capture:
         if magic in CLASSIC:
             self.format, walk = "pcap", self._classic(*CLASSIC[magic])
         elif magic == b"\x0a\x0d\x0d\x0a":
-            self.format, walk = "pcapng", self._blocks()
+            self.format, walk = "pcapng", self._chunks(self._blocks())
         else:
             raise self._fail("not a PCAP or PCAPNG capture")
-        rows: list[tuple] = []
         try:
-            for row in walk:
-                rows.append(row)
-                self.packets += 1
-                if len(rows) >= self.chunk:
-                    yield self._arrays(rows)
-                    rows = []
+            yield from walk
         except _Cut:
             if not self.packets:
                 raise self._fail("the file ends inside its headers or first record") from None
             self.truncated = True
         except struct.error as e:
             raise self._fail(str(e)) from None
-        if rows:
-            yield self._arrays(rows)
-
-    def _arrays(self, rows: list[tuple]) -> dict[str, np.ndarray]:
-        table = np.array(rows, np.int64)
-        first = self.packets - len(rows) + 1
-        return {"packet_number": np.arange(first, first + len(rows))} | {c: table[:, i] for i, c in enumerate(COLUMNS[1:])}
 
-    def _classic(self, order: str, per_us: int) -> Iterator[tuple]:
+    def _chunks(self, rows: Iterator[tuple]) -> Iterator[dict[str, np.ndarray]]:
+        """Rows of ``COLUMNS`` but the first, as arrays; what came before an error or the end of the file comes out first."""
+        held: list[tuple] = []
+        try:
+            for row in rows:
+                held.append(row)
+                self.packets += 1
+                if len(held) >= self.chunk:
+                    yield self._arrays(np.array(held, np.int64).T)
+                    held = []
+        except _Cut:
+            if held:
+                yield self._arrays(np.array(held, np.int64).T)
+            raise
+        if held:
+            yield self._arrays(np.array(held, np.int64).T)
+
+    def _arrays(self, columns: np.ndarray | list[np.ndarray]) -> dict[str, np.ndarray]:
+        n = len(columns[0])
+        return {"packet_number": np.arange(self.packets - n + 1, self.packets + 1)} | dict(zip(COLUMNS[1:], columns, strict=True))
+
+    def _classic(self, order: str, per_us: int) -> Iterator[dict[str, np.ndarray]]:
+        """Only the captured lengths are walked one by one; the other fields of a chunk's headers are gathered together."""
         view, size = self.view, len(self.view)
         self._need(0, 24)
         major, _, _, _, _, link = struct.unpack_from(order + "HHiIII", view, 4)
         if major != 2:
             raise self._fail(f"unsupported PCAP version {major}")
         self.link_types.add(link)
-        head, at = struct.Struct(order + "IIII").unpack_from, 24
-        while at < size:
+        length, at, bad, cut = struct.Struct(order + "I").unpack_from, 24, None, False
+        while at < size and not (bad or cut):
+            starts: list[int] = []
+            add = starts.append
+            for _ in range(self.chunk):
+                if at + 16 > size:
+                    cut = at < size
+                    break
+                captured = length(view, at + 8)[0]
+                if captured > MOST_BYTES:
+                    bad = f"a packet of {captured} bytes exceeds the limit"
+                    break
+                if at + 16 + captured > size:
+                    cut = True
+                    break
+                add(at)
+                at += 16 + captured
             self.at = at
-            self._need(at, 16)
-            sec, frac, captured, original = head(view, at)
-            if captured > MOST_BYTES:
-                raise self._fail(f"a packet of {captured} bytes exceeds the limit")
-            at += 16
-            self._need(at, captured)
-            yield sec * 1_000_000 + frac // per_us, captured, original, link, 0, at, 1
-            at += captured
+            if starts:
+                self.packets += len(starts)
+                begin = np.array(starts, np.int64)
+                heads = self.data[begin[:, None] + np.arange(16)].view(order + "u4").astype(np.int64)
+                ones = np.ones(len(begin), np.int64)
+                yield self._arrays([heads[:, 0] * 1_000_000 + heads[:, 1] // per_us, heads[:, 2], heads[:, 3], ones * link, ones * 0, begin + 16, ones])
+        if bad:
+            raise self._fail(bad)
+        if cut:
+            raise _Cut
 
     def _blocks(self) -> Iterator[tuple]:
         view, size, at, order = self.view, len(self.view), 0, "<"
