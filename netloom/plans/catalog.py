@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netloom.plans import findings, problems, roundtrips
+from netloom.plans import findings, formats, problems, roundtrips
 
-_MODULES = (problems, findings, roundtrips)
+_MODULES = (problems, findings, roundtrips, formats)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,13 +74,8 @@ def pcap_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return read_pcap(spark, _event_file(spark, sf), ["packet_number", "timestamp", "captured_length", "original_length", "link_type", "capture_format"])
 
 
-def packet_ports(spark: SparkSession, sf: str) -> DataFrame:
-    """Decoded header fields, with conditions tested inside the reader."""
-    return read_packets(spark, _event_file(spark, sf), ["timestamp", "src_ip", "dst_port", "payload_length", "udp_length"], where=[("dst_port", ">", 8001), ("packet_number", "<=", 5000)]).drop("packet_number")
-
-
 def packet_fields(spark: SparkSession, sf: str) -> DataFrame:
-    """Decoded header fields of all packets, however many; ``packet_ports`` reads the first 5,000 packets only."""
+    """Decoded header fields of all packets, with a condition tested inside the reader."""
     return read_packets(spark, _event_file(spark, sf), ["packet_number", "timestamp", "src_ip", "dst_port", "payload_length", "udp_length"], where=[("dst_port", ">", 8001)])
 
 
@@ -254,7 +249,7 @@ def catalog_pruned_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (pcap_roundtrip, packet_ports, packet_fields, pushdown_parity, flow_sessions, flows_of_packets, tcp_stream_bytes, tcp_gaps, dns_messages, dns_packets, tls_ja3, inventory_totals, hive_partitions, catalog_pruned_scan)
+    for f in (pcap_roundtrip, packet_fields, pushdown_parity, flow_sessions, flows_of_packets, tcp_stream_bytes, tcp_gaps, dns_messages, dns_packets, tls_ja3, inventory_totals, hive_partitions, catalog_pruned_scan)
 }
 
 _E = "with e as (select event_id, ts, user_id, 8000 + dense_rank() over (order by event_type) as port, row_number() over (order by ts, event_id) as pn, length(cast(event_id as varchar)) as size from events where ts is not null and user_id is not null and event_type is not null)"
@@ -264,7 +259,6 @@ _PARTS = f"cast(ceil(octet_length(encode(text)) / {SEGMENT}.0) as bigint)"
 
 ORACLE = {
     "pcap_roundtrip": f"{_E} select pn as packet_number, ts as \"timestamp\", 42 + size as captured_length, 42 + size as original_length, cast(1 as bigint) as link_type, 'pcap' as capture_format from e",
-    "packet_ports": f"{_E} select ts as \"timestamp\", {_IP} as src_ip, port as dst_port, size as payload_length, size + 8 as udp_length from e where port > 8001 and pn <= 5000",
     "packet_fields": f"{_E} select pn as packet_number, ts as \"timestamp\", {_IP} as src_ip, port as dst_port, size as payload_length, size + 8 as udp_length from e where port > 8001",
     "pushdown_parity": "select 0 as differences",
     "flow_sessions": f"""{_E}, l as (select *, epoch_us(ts) - epoch_us(lag(ts) over (partition by user_id, port order by pn)) as pause from e),
