@@ -7,7 +7,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.operators.ordered import CLOCK, SCOPE, along, vlan_list, with_clock, with_inputs, with_pair
+from netloom.operators.ordered import CLOCK, SCOPE, along, join_null_safe, vlan_list, with_clock, with_inputs, with_pair
 
 FIN, SYN, RST, ACK = 1, 2, 4, 16
 TCP_IDLE, UDP_IDLE = timedelta(minutes=5), timedelta(minutes=1)
@@ -149,7 +149,7 @@ def read_flows(packets: DataFrame, tcp_idle_timeout: timedelta = TCP_IDLE, udp_i
     p = with_clock(packets.select(*cols, *given).filter("packet_number is not null"))
     if len(given) < len(CLOCK):
         last = packets.groupBy("filename", "input_index").agg(F.max("section_number").alias("_sections"))
-        p = p.join(last, ["filename", "input_index"]).withColumn("last_section", F.col("section_number") == F.col("_sections")).drop("_sections")
+        p = join_null_safe(p, last, ["filename", "input_index"]).withColumn("last_section", F.col("section_number") == F.col("_sections")).drop("_sections")
     p = p.filter("ip_protocol in (6, 17) and src_port is not null and coalesce(ip_fragment_offset, 0) = 0 and not coalesce(ip_more_fragments, false)")
     p = with_pair(p).drop("timestamp", "vlan_ids", "ip_fragment_offset", "ip_more_fragments", "src_ip", "dst_ip", "src_port", "dst_port")
     keys = [*SCOPE, "ip_version", "ip_protocol", "vlans", "low_ip", "low_port", "high_ip", "high_port"]

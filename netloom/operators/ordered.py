@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.session import epoch_us, materialize
+from netloom.sources.columns import values
 
 SCOPE = ["filename", "input_index", "input_count", "section_number", "interface_id"]
 #: What the reader can give of a capture's clocks (see ``with_clock``), and whether the section is the capture's last.
@@ -19,6 +20,13 @@ CLOCK = ["clock", "late", "final_clock", "final_packet", "last_section"]
 CHUNK = 65_536
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on columns of one name, nulls being equal."""
+    right = right.select(*[F.col(k).alias(f"_key_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    on = [left[k].eqNullSafe(right[f"_key_{k}"]) for k in keys]
+    return left.join(right, on).drop(*[f"_key_{k}" for k in keys])
+
+
 def with_inputs(packets: DataFrame) -> DataFrame:
     """Adds ``input_index`` and ``input_count`` where they lack. Rows of the capture reader bring them along.
 
@@ -54,7 +62,8 @@ def with_clock(packets: DataFrame) -> DataFrame:
     so_far = w.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     chunks = chunks.select(*keys, F.max("_top").over(so_far).alias("_before"), F.max("_top").over(w).alias("final_clock"), F.max("_last").over(w).alias("final_packet"))
     inside = Window.partitionBy(*keys).orderBy("packet_number")
-    df = df.withColumn("_here", F.max("us").over(inside.rowsBetween(Window.unboundedPreceding, -1))).join(chunks, keys)
+    df = df.withColumn("_here", F.max("us").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
+    df = join_null_safe(df, chunks, keys)
     earlier = F.greatest("_here", "_before")
     return df.withColumn("late", F.coalesce(F.col("us") < earlier, F.lit(False))).withColumn("clock", F.greatest("us", earlier)).drop("_here", "_before", "_chunk")
 
@@ -75,38 +84,50 @@ def along(df: DataFrame, keys: list[str], order: list[str], machine: Callable[[]
     """Runs a state machine over each key's rows in order.
 
     ``machine()`` makes an object with ``row(values)``, values being a named tuple, and ``end()``, both giving rows (tuples
-    by ``schema``); it is made anew for each key. Rows stream through sorted partitions, which spill to disk, so a key may have any number of
-    rows: only its state is in memory.
+    by ``schema``); it is made anew for each key. Rows stream through partitions sorted by a hash of the keys and the order,
+    which compares numbers only and spills to disk, so a key may have any number of rows: only its state is in memory.
     """
-    ordered = df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order)
+    spread = df.withColumn("_h", F.xxhash64(*keys))
+    ordered = spread.repartition("_h").sortWithinPartitions("_h", *order)
     names = ordered.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        live, last = None, None
-        make = namedtuple("Values", names)._make
+        live: dict[tuple, object] = {}  # the machines of one hash: one, or more where keys collide
+        hashed = None
+        make = namedtuple("Values", [c for c in names if c != "_h"])._make
         for b in batches:
             n = b.num_rows
             if not n:
                 continue
-            cols = [b.column(c).to_pylist() for c in names]
-            new = np.zeros(n, bool)
+            h = b.column("_h").to_numpy()
+            cols = [values(b.column(c)) for c in names if c != "_h"]
+            at = [values(b.column(k)) for k in keys]
+            fresh = np.ones(n, bool)
+            fresh[1:] = h[1:] != h[:-1]
+            fresh[0] = h[0] != hashed
+            other = fresh.copy()
             for k in keys:
                 code = b.column(k).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
-                new[1:] |= code[1:] != code[:-1]
-            at = [cols[names.index(k)] for k in keys]
-            first = tuple(c[0] for c in at)
-            new[0] = first != last
-            last = tuple(c[-1] for c in at)
+                other[1:] |= code[1:] != code[:-1]
+            other[0] = True
+            hashed = h[-1]
             out: list[tuple] = []
-            for fresh, row in zip(new.tolist(), zip(*cols, strict=True), strict=True):
-                if fresh:
-                    if live is not None:
-                        out += live.end()
-                    live = machine()
-                out += live.row(make(row))
+            now = None
+            for i, (new, turn, row) in enumerate(zip(fresh.tolist(), other.tolist(), zip(*cols, strict=True), strict=True)):
+                if new:
+                    for m in live.values():
+                        out += m.end()
+                    live = {}
+                if turn:
+                    key = tuple(c[i] for c in at)
+                    now = live.get(key)
+                    if now is None:
+                        now = live[key] = machine()
+                out += now.row(make(row))
             if out:
                 yield batch(out)
-        if live is not None and (out := list(live.end())):
+        out = [r for m in live.values() for r in m.end()]
+        if out:
             yield batch(out)
 
     from pyspark.sql import types as T

@@ -15,6 +15,7 @@ from netloom.operators.ordered import SCOPE, along, vlan_list, with_clock, with_
 from netloom.sources import dns
 from netloom.session import epoch_us, materialize
 from netloom.sources.captures import DNS
+from netloom.sources.columns import values
 
 # The bounds below, and the statuses and errors named where they arise.
 #: Bounds of one direction: bytes and segments kept, and messages framed.
@@ -308,7 +309,7 @@ def read_dns_messages(packets: DataFrame, tcp_idle_timeout: timedelta = TCP_IDLE
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             none = dict.fromkeys(fields.names)
-            rows = [dns.decode(m) if s == "complete" else none | {"dns_valid": False, "dns_error": e} for m, s, e in zip(b.column("message_data").to_pylist(), b.column("reassembly_status").to_pylist(), b.column("reassembly_error").to_pylist(), strict=True)]
+            rows = [dns.decode(m) if s == "complete" else none | {"dns_valid": False, "dns_error": e} for m, s, e in zip(*(values(b.column(c)) for c in ("message_data", "reassembly_status", "reassembly_error")), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array([r[f.name] for r in rows], f.type) for f in fields]], names=[*b.schema.names, *fields.names])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in all_.schema.fields)

@@ -20,6 +20,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from netloom.sources import decode as D
+from netloom.sources.columns import values
 from netloom.sources.dns import FIELDS as DNS_FIELDS
 from netloom.sources.dns import decode_packet
 from netloom.sources.framing import NO_TIME, Capture, open_bytes
@@ -283,17 +284,17 @@ class Clocks:
         self.now: dict[int, int] = {}
         self.end: dict[int, tuple[int, int]] = {}
         self.sections = 0
-        self.data, self.tcp = data, tcp
+        masks = []
         for raw in Capture(path, data).batches():
-            for scope, rows in self._scopes(raw, self._moving(raw)):
+            moving = np.ones(len(raw["ts"]), bool)
+            if tcp:
+                moving = D.Packets(data, raw["packet_offset"], raw["captured_length"], raw["link_type"], D.TRANSPORT).tcp
+                masks.append(np.packbits(moving))  # a bit a packet
+            for scope, rows in self._scopes(raw, moving):
                 top, _ = self.end.get(scope, (NO_TIME, 0))
                 self.end[scope] = (max(top, int(raw["ts"][rows].max())), int(raw["packet_number"][rows[-1]]))
             self.sections = int(raw["section_number"][-1])
-
-    def _moving(self, raw: dict[str, np.ndarray]) -> np.ndarray:
-        if not self.tcp:
-            return np.ones(len(raw["ts"]), bool)
-        return D.Packets(self.data, raw["packet_offset"], raw["captured_length"], raw["link_type"], D.TRANSPORT).tcp
+        self.masks = iter(masks) if tcp else None
 
     @staticmethod
     def _scopes(raw: dict[str, np.ndarray], moving: np.ndarray) -> list[tuple[int, np.ndarray]]:
@@ -307,7 +308,8 @@ class Clocks:
         """The clock columns of the next batch."""
         n = len(raw["ts"])
         out = {c: np.zeros(n, np.int64) for c in ("clock", "final_clock", "final_packet")} | {"late": np.zeros(n, bool)}
-        for scope, rows in self._scopes(raw, self._moving(raw)):
+        moving = np.ones(n, bool) if self.masks is None else np.unpackbits(next(self.masks), count=n).astype(bool)
+        for scope, rows in self._scopes(raw, moving):
             ts = raw["ts"][rows]
             line = np.maximum.accumulate(np.concatenate([[self.now.get(scope, NO_TIME)], ts]))
             out["clock"][rows], out["late"][rows] = line[1:], (ts != NO_TIME) & (ts < line[:-1])
@@ -316,6 +318,18 @@ class Clocks:
         return out | {"last_section": raw["section_number"] == self.sections}
 
 
+def _slices(view: memoryview, start: np.ndarray, size: np.ndarray, there: np.ndarray) -> pa.Array:
+    """Pieces of a file as binary values; null where there is none."""
+    size = np.where(there, size, 0)
+    ends = np.cumsum(size)
+    if len(ends) and ends[-1] > np.iinfo(np.int32).max:
+        return pa.array([view[a : a + n].tobytes() if t else None for a, n, t in zip(start.tolist(), size.tolist(), there.tolist(), strict=True)], pa.binary())
+    whole = b"".join([view[a:b] for a, b in zip(start.tolist(), (start + size).tolist(), strict=True)])
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    valid = None if there.all() else pa.py_buffer(np.packbits(there, bitorder="little").tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(size), [valid, pa.py_buffer(offsets.tobytes()), pa.py_buffer(whole)])
+
+
 class Columns:
     """Columns of a batch, each made when first asked for."""
 
@@ -324,13 +338,14 @@ class Columns:
         self.n = len(raw["ts"])
         self.packets: D.Packets | None = None
         self.made: dict[str, pa.Array] = {}
+        self.messages: list[dict] | None = None
         self.dns = dns
 
     def keep(self, mask: np.ndarray) -> None:
         if not mask.all():
             self.raw = {k: v[mask] for k, v in self.raw.items()}
             self.n = int(mask.sum())
-            self.packets = None
+            self.packets = self.messages = None
             self.made = {}
 
     @property
@@ -360,7 +375,7 @@ class Columns:
         if name in r:
             return pa.array(r[name], mask=r[name] == NO_TIME if name.endswith("clock") else None)
         if name == "packet_data":
-            return pa.array([self.data[a : a + s].tobytes() for a, s in zip(r["packet_offset"].tolist(), r["captured_length"].tolist(), strict=True)], pa.binary())
+            return _slices(self.capture.view, r["packet_offset"], r["captured_length"], np.ones(n, bool))
         p = self.p
         if name in ("src_mac", "dst_mac"):
             return p.macs(6 if name == "src_mac" else 0)
@@ -390,7 +405,7 @@ class Columns:
         if name == "decode_outcome":
             return pa.array(_OUTCOMES[p.outcome], pa.string())
         if name == "payload":
-            return pa.array([p.payload(i) if t else None for i, t in enumerate(p.transport.tolist())], pa.binary())
+            return _slices(self.capture.view, p.at + p.payload_offset, p.payload_length, p.transport)
         if name in TLS_FIELDS:
             return self._tls(name)
         if name in DNS_FIELDS:
@@ -412,10 +427,10 @@ class Columns:
 
     def _dns(self, name: str) -> pa.Array:
         p = self.p
-        rows = [decode_packet(p.payload(i), bool(p.tcp[i]), int(p.udp_length[i]) - 8) for i in range(self.n)]
-        for c, kind in DNS_FIELDS.items():
-            self.made[c] = pa.array([r[c] for r in rows], kind)
-        return self.made[name]
+        if self.messages is None:
+            payloads = values(_slices(self.capture.view, p.at + p.payload_offset, p.payload_length, p.transport))
+            self.messages = [decode_packet(d or b"", t, u - 8) for d, t, u in zip(payloads, p.tcp.tolist(), p.udp_length.tolist(), strict=True)]
+        return pa.array([r[name] for r in self.messages], DNS_FIELDS[name])  # only the fields that are asked for
 
 
 class CaptureSource(DataSource):

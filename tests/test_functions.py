@@ -103,3 +103,15 @@ def test_suffix_is_a_tail(labels):
     assert n == suffix or n.endswith("." + suffix)
     assert not own or (own.endswith("." + suffix) and own.count(".") == suffix.count(".") + 1)
     assert left == "".join(labels[: len(labels) - own.count(".") - 1]) if own else left == ""
+
+
+def test_values_equal_pylist():
+    import pyarrow as pa
+
+    from netloom.sources.columns import values
+
+    for a in (
+        pa.array([1, None, 3]), pa.array([], pa.int32()), pa.array([True, None, False]), pa.array(["a", None, "", "a"]), pa.array([b"x", None, b"", b"yz"]), pa.array([b"x", b"yy", b"z"]).slice(1), pa.array([[1], None]),
+        pa.array(["a", "b", "c"]).slice(2), pa.array([None, None], pa.binary()), pa.array([5, 6, None], pa.int16()).slice(1),
+    ):
+        assert values(a) == a.to_pylist()

@@ -346,3 +346,40 @@ def test_stream_equals_batch(spark, tmp_path):
     assert windows == want
     sessions = run(session_traffic(src, ["src_ip"], "1 minute", "0 seconds"), "s", "append")
     assert sessions.columns == ["src_ip", "start_time", "end_time", "packets"]
+
+
+def test_ids_differ_between_inputs(spark, tmp_path):
+    """Rows without the reader's input columns: every file name is an input, numbered from 1 in order of name."""
+    frames = B.conversation("10.0.0.1", "192.0.2.1", 5000, 80, b"a", b"b")
+    one, two = capture(tmp_path, frames), str(tmp_path / "other.pcap")
+    with open(one, "rb") as f, open(two, "wb") as g:
+        g.write(f.read())
+    cols = [c for c in FLOW_COLUMNS if c not in ("input_index", "input_count")]
+    df = read_packets(spark, [one, two], cols)
+    rows = read_flows(df.union(df.filter("packet_number = 1").withColumn("filename", F.lit(None)))).collect()
+    named = {name: i for i, name in enumerate(sorted([one, two]), 2)}
+    assert {(r.filename, r.input_index) for r in rows} == {(None, 1), *named.items()}
+    assert len({r.flow_id for r in rows}) == len(rows) and {r.flow_id for r in rows} == {1, 2, 3}
+    own = read_flows(read_packets(spark, [one, one], FLOW_COLUMNS)).collect()
+    assert sorted((r.input_index, r.flow_id) for r in own) == [(1, 1), (2, 2)]
+
+
+def test_machines_of_colliding_keys(spark, monkeypatch):
+    """Keys with one hash share a sorted run, each with a machine of its own."""
+    from netloom.operators import ordered
+
+    class Count:
+        def __init__(self):
+            self.n, self.key = 0, None
+
+        def row(self, p):
+            self.n, self.key = self.n + 1, p.k
+            return []
+
+        def end(self):
+            return [(self.key, self.n)]
+
+    monkeypatch.setattr(ordered.F, "xxhash64", lambda *c: F.lit(7).cast("long"))
+    df = spark.createDataFrame([(f"k{i % 5}", i) for i in range(100)], "k string, n long")
+    got = ordered.along(df, ["k"], ["n"], Count, "k string, n long").collect()
+    assert sorted(map(tuple, got)) == [(f"k{i}", 20) for i in range(5)]
