@@ -232,6 +232,37 @@ def test_replay(spark, seed):
     assert got == brute_changes(more)
 
 
+def test_replay_writes_the_state_once(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(run, f"k{k}", rng.choice([1, 1, 1, 2, None]), 7) for run in range(1, 9) for k in rng.sample(range(100), 40)]
+
+    def replay(rows, at):
+        df = spark.createDataFrame(rows, "run long, key string, a long, b long")
+        return {(r.run, r.key) for r in replay_runs(df, "run", "key", ["a", "b"], at, range_rows=20).collect()}
+
+    def state():
+        return [spark.read.parquet(str(p)).count() for p in tmp_path.glob("run-*/out/f_kind=state")]
+
+    assert replay(rows, str(tmp_path)) == brute_changes(rows)
+    assert state() == [len({r[1] for r in rows})]
+    # Runs that wait meet the saved state together, in ranges made for their rows, too.
+    more = rows + [(run, f"{x}{k}", rng.choice([1, 2, None]), 7) for run in (9, 11, 14) for x in "kn" for k in range(0, 200, run)] + [(20, "n0", 1, 7), (21, "n0", None, 7), (22, "n0", None, 7), (23, "n0", 1, 7), (24, "n0", 1, 7)]
+    assert replay(more, str(tmp_path)) == brute_changes(more) and len(state()) == 2
+
+
+def test_runs_fed_together_leave_what_single_runs_leave(spark):
+    rng = random.Random(6)
+    runs = {label: [(f"k{k}", rng.choice([1, 2]), "x") for k in rng.sample(range(80), 30)] for label in (3, 4, 10)}
+    single, together = (ChangeFeed(spark, scratch(spark, "feed"), "k", ["v", "w"], depth=2) for _ in range(2))
+    one = [tuple(r) for label, rows in runs.items() for r in single.run(spark.createDataFrame(rows, "k string, v long, w string"), label).collect()]
+    all_ = spark.createDataFrame([(label, *r) for label, rows in runs.items() for r in rows], "n long, k string, v long, w string")
+    got = [tuple(r) for r in together.run_all(all_, "n", {label: len(rows) for label, rows in runs.items()}).collect()]
+    assert sorted(got) == sorted(one) and len(one) > 30
+    assert [single.current()[c] for c in ("run", "label", "ranges", "rows", "roots")] == [together.current()[c] for c in ("run", "label", "ranges", "rows", "roots")]
+    rest = spark.createDataFrame([("k1", 9, "x"), *runs[10]], "k string, v long, w string")
+    assert sorted(single.run(rest, 11).collect()) == sorted(together.run(rest, 11).collect())
+
+
 def test_replay_of_nothing(spark):
     df = spark.createDataFrame([], "run long, key string, a long, b long")
     assert replay_runs(df, "run", "key", ["a", "b"], scratch(spark, "t")).collect() == []
